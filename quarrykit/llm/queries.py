@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_pack, simhash_bytes
+from . import bestfit_pack, piecewise_hash, simhash_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_piecewise_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.compare_with_edited(table(spark, sf_dir, "documents"))
