@@ -90,7 +90,8 @@ def _lcs(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def _shares_run(a: str, b: str) -> bool:
-    n = min(WINDOW, len(a), len(b))
+    short = min(len(a), len(b))
+    n = min(WINDOW, short, max(2, short // 2))
     return n > 0 and not {a[i : i + n] for i in range(len(a) - n + 1)}.isdisjoint(b[i : i + n] for i in range(len(b) - n + 1))
 
 
@@ -100,7 +101,8 @@ def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     Signatures are compared at equal block sizes only, that is, where one block size is
     the other's or twice it. Edit distance d counts insertions and deletions (a change
     is both); likeness is 1 - d / (sum of lengths), the best of the comparable
-    signatures, and 0 where they share no run of 7 symbols (or of the shorter's length).
+    signatures, and 0 where they share no run of 7 symbols (of half the shorter signature, if
+    that is less).
     Equal fingerprints have likeness 1.
     """
     out = np.zeros(len(pairs))

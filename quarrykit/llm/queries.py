@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_pack, piecewise_hash, simhash_bytes
+from . import bestfit_pack, compress_lang, piecewise_hash, simhash_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_piecewise_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise_hash.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op3_compression_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_lang.identify(table(spark, sf_dir, "documents"))
