@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,3 +116,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+class Bitmap:
+    """A fixed-size set of hashed keys: no false negatives, so it may only drop rows that a later join would drop."""
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 26):
+        """Build from a long ``column``; whatever the number of rows, 2^bits bits reach the driver and the workers."""
+        slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+        words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        found = words.toArrow()
+        table = np.zeros(1 << bits - 6, np.int64)
+        table[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        self.mask = (1 << bits) - 1
+        self.sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """Boolean per 64-bit key; False means surely absent."""
+        slot = keys.astype(np.int64) & self.mask
+        return (self.sent.value[slot >> 6] >> (slot & 63)) & 1 == 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_pack, compress_lang, piecewise_hash, simhash_bytes
+from . import bestfit_pack, compress_lang, paragraph_minhash, piecewise_hash, simhash_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_compression_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_lang.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op4_paragraph_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_minhash.duplicate_paragraphs(table(spark, sf_dir, "documents"))
