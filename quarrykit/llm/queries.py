@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_pack, compress_lang, paragraph_minhash, piecewise_hash, simhash_bytes
+from . import benchmark_align, bestfit_pack, compress_lang, paragraph_minhash, piecewise_hash, simhash_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_paragraph_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_minhash.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_align.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
