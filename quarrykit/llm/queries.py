@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_align, bestfit_pack, compress_lang, paragraph_minhash, piecewise_hash, simhash_bytes
+from . import benchmark_align, bestfit_pack, block_lstm, compress_lang, paragraph_minhash, piecewise_hash, simhash_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_benchmark_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_align.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_block_lstm_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_lstm.main_text(table(spark, sf_dir, "pages"))
