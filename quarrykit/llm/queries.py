@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_align, bestfit_pack, block_lstm, compress_lang, paragraph_minhash, piecewise_hash, simhash_bytes
+from . import (
+    benchmark_align,
+    bestfit_pack,
+    block_lstm,
+    compress_lang,
+    license_rules,
+    paragraph_minhash,
+    piecewise_hash,
+    preference_format,
+    simhash_bytes,
+    warc_merkle,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +76,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_block_lstm_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_lstm.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_preference_format", preference_format.QUERY_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format.format_preferences(*preference_format.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+@query("op2_license_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.find_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op10_warc_merkle_audit", warc_merkle.query_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc_merkle.audit(*[warc_merkle.digests(x, warc_merkle.record(), "page_id") for x in (pages, warc_merkle.damaged_copy(pages))])
