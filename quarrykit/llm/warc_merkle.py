@@ -87,7 +87,7 @@ def audit(original: DataFrame, replica: DataFrame, fanout: int = 16) -> DataFram
             F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.min("offset").alias("offset"), F.sum("length").alias("length"),
             F.array_sort(F.collect_list("kid")).alias("kids"),  # at most fanout children
         )
-        levels.append(checkpointed(parent.select("node", "first_id", "last_id", "offset", "length", *[F.sha2(F.concat_ws("", F.transform("kids", lambda x, s=s: x[f"digest_{s}"])), 256).alias(f"digest_{s}") for s in "ab"])))
+        levels.append(checkpointed(parent.select("node", "first_id", "last_id", "offset", "length", *[F.sha2(F.concat_ws("", F.col(f"kids.digest_{s}")), 256).alias(f"digest_{s}") for s in "ab"])))
     out, above = [], None
     for k in range(len(levels) - 1, -1, -1):
         differ = levels[k].filter("digest_a <> digest_b")
