@@ -33,9 +33,10 @@ def strip_non_ascii(text: Column) -> Column:
 
 def bigram_context(df: DataFrame, tokens: str, window: int = 2, unique: bool = False, skip: str = "|") -> DataFrame:
     """(w1, w2, count) of ordered pairs less than ``window`` apart within a row; ``unique`` merges both orders."""
-    t = F.filter(col(tokens), lambda x: x != skip)
-    pairs = F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.lit(window - 1)), lambda y: F.struct(x.alias("w1"), y.alias("w2")))))
-    p = df.select(F.explode(pairs).alias("p")).select("p.w1", "p.w2")
+    t, n = F.col("t"), F.size("t")
+    ahead = [F.zip_with(F.slice(t, 1, F.greatest(n - k, F.lit(0))), F.slice(t, k + 1, n), lambda x, y: F.struct(x.alias("w1"), y.alias("w2"))) for k in range(1, window)]
+    rows = df.select(F.filter(col(tokens), lambda x: x != skip).alias("t")).filter(n > 1)
+    p = rows.select(F.explode(F.concat(*ahead)).alias("p")).select("p.w1", "p.w2")
     if unique:
         p = p.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2"))
     return p.groupBy("w1", "w2").agg(F.count("*").alias("count"))
@@ -48,7 +49,7 @@ def corpus_tfidf(df: DataFrame, text: str) -> DataFrame:
     """
     n = df.agg(F.count("*").alias("n"))
     tokens = F.regexp_extract_all(F.lower(col(text)), F.lit(TERM), F.lit(0))
-    long = df.select(F.monotonically_increasing_id().alias("d"), F.explode(tokens).alias("w")).groupBy("d", "w").agg(F.count("*").alias("k"))
+    long = df.select(F.monotonically_increasing_id().alias("d"), tokens.alias("t")).select("d", F.explode("t").alias("w")).groupBy("d", "w").agg(F.count("*").alias("k"))
     got = long.groupBy(F.col("w").alias("term")).agg(F.sum("k").cast("bigint").alias("tf"), F.count("*").alias("df"))
     return got.crossJoin(F.broadcast(n)).select("term", "tf", "df", ((1 + F.ln("tf")) * F.ln(F.col("n") / (1 + F.col("df")))).alias("weight"))  # n is one row
 

@@ -23,10 +23,11 @@ def ranked(df: DataFrame, group: list[str], id_col: str, seed: int = 0) -> DataF
     sliced = hashed.withColumn("__s", F.floor((F.shiftrightunsigned("__h", 1) / F.lit(float(1 << 63))) * n).cast("int"))
     keys = ", ".join(map(quoted, group))
     sizes = sliced.groupBy(*map(col, group), "__s").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.expr(f"sum(__n) OVER (PARTITION BY {keys} ORDER BY __s)") - F.col("__n")).drop("__n")
+    named = {c: f"__k{i}" for i, c in enumerate(group)}
+    before = sizes.withColumn("__b", F.expr(f"sum(__n) OVER (PARTITION BY {keys} ORDER BY __s)") - F.col("__n")).drop("__n").withColumnsRenamed(named | {"__s": "__t"})
     local = sliced.withColumn("__r", F.expr(f"row_number() OVER (PARTITION BY {keys}, __s ORDER BY __h, {quoted(id_col)})"))
-    cond = [local[c].eqNullSafe(before[c]) for c in group] + [local["__s"] == before["__s"]]
-    return local.join(before, cond, "inner").select(*[local[c] for c in df.columns], (F.col("__r") + F.col("__b")).alias("__rank"))
+    cond = [col(c).eqNullSafe(F.col(k)) for c, k in named.items()] + [F.col("__s") == F.col("__t")]
+    return local.join(before, cond, "inner").select(*map(col, df.columns), (F.col("__r") + F.col("__b")).alias("__rank"))
 
 
 def balanced_sample(df: DataFrame, group: str, id_col: str, n: int | None = None, frac: float | None = None, seed: int = 0) -> DataFrame:
@@ -43,12 +44,12 @@ def balanced_sample(df: DataFrame, group: str, id_col: str, n: int | None = None
         raise ValueError("n must be whole")
     n = int(n)
     rows = ranked(df, [group], id_col, seed)
-    sized = rows.join(sizes, rows[group].eqNullSafe(sizes["__g"]))
+    sized = rows.join(sizes, col(group).eqNullSafe(F.col("__g")))
     plenty = sized.filter((F.col("__size") >= n) & (F.col("__rank") <= n))
     few = sizes.filter(F.col("__size") < n).select("__g", "__size", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("__i"))
     draws = few.select("__g", (F.pmod(F.xxhash64(F.lit(seed), "__i", "__g"), F.col("__size")) + 1).alias("__pick"))
-    again = draws.join(rows, draws["__g"].eqNullSafe(rows[group]) & (F.col("__pick") == F.col("__rank")))
-    return plenty.select(*map(col, df.columns)).unionByName(again.select(*[rows[c] for c in df.columns]))
+    again = draws.join(rows, F.col("__g").eqNullSafe(col(group)) & (F.col("__pick") == F.col("__rank")))
+    return plenty.select(*map(col, df.columns)).unionByName(again.select(*map(col, df.columns)))
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 0, fold_col: str = "fold") -> DataFrame:

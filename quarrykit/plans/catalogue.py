@@ -216,9 +216,9 @@ def age_years(spark, d):
 for _name, _unit in columns.SLOTS.items():
 
     def _slot(spark, d, _name=_name):
-        return table(spark, d, "events").groupBy(columns.time_slot(F.col("ts"), _name).cast("date").alias("slot") if _name != "hourly" else columns.time_slot(F.col("ts"), _name).cast("timestamp_ntz").alias("slot")).agg(F.count("*").alias("n"))
+        return table(spark, d, "events").groupBy(columns.time_slot(F.col("ts"), _name).cast("timestamp_ntz").alias("slot")).agg(F.count("*").alias("n"))
 
-    query(f"time_slots_{_unit}", f"SELECT date_trunc('{_unit}', ts){'' if _name == 'hourly' else '::DATE'} AS slot, count(*) AS n FROM events GROUP BY 1")(_slot)
+    query(f"time_slots_{_unit}", f"SELECT date_trunc('{_unit}', ts)::TIMESTAMP AS slot, count(*) AS n FROM events GROUP BY 1")(_slot)
 
 
 @query("dedup_unordered", "SELECT l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY list_sort([l_suppkey::VARCHAR, l_linenumber::VARCHAR]) ORDER BY l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
@@ -273,8 +273,8 @@ def hist_by_class(spark, d):
     return profile.histogram(table(spark, d, "lineitem"), "l_quantity", 10, "l_returnflag").withColumns({"lo": r6("lo"), "hi": r6("hi")})
 
 
-@query("box_stats", """WITH q AS (SELECT l_returnflag AS by, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
-SELECT by, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, count(*) AS n, min(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (NOT l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM lineitem JOIN q ON l_returnflag = by GROUP BY by, q1, median, q3""")
+@query("box_stats", """WITH q AS (SELECT l_returnflag AS "by", quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
+SELECT "by", round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, count(*) AS n, min(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (NOT l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM lineitem JOIN q ON l_returnflag = "by" GROUP BY "by", q1, median, q3""")
 def box_stats(spark, d):
     return profile.box_stats(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag").withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
@@ -577,10 +577,10 @@ def contraction_expand(spark, d):
 _OWN = "[^abcdefghijklmnopqrstuvwxyz ]"
 
 
-@query("gibberish_score", f"""WITH c AS (SELECT substr(t, i, 2) AS b FROM (SELECT regexp_replace(lower(text), '{_OWN}', '', 'g') AS t FROM documents WHERE lang = 'en'), range(1, length(t)) r(i)),
+@query("gibberish_score", f"""WITH c AS (SELECT unnest(list_transform(list_zip(x[:-2], x[2:]), lambda p: p[1] || p[2])) AS b FROM (SELECT string_split(regexp_replace(lower(text), '{_OWN}', '', 'g'), '') AS x FROM documents WHERE lang = 'en')),
 g AS (SELECT substr('{ACCEPTED}', i, 1) AS x, substr('{ACCEPTED}', j, 1) AS y FROM range(1, 28) a(i), range(1, 28) b(j)), n AS (SELECT b, count(*) AS n FROM c GROUP BY 1),
 l AS (SELECT x || y AS b, ln((coalesce(n, 0) + 10) / sum(coalesce(n, 0) + 10) OVER (PARTITION BY x)) AS l FROM g LEFT JOIN n ON n.b = x || y),
-s AS (SELECT item_id, substr(t, i, 2) AS b FROM (SELECT item_id, regexp_replace(lower(text), '{_OWN}', '', 'g') AS t FROM benchmark), range(1, length(t)) r(i))
+s AS (SELECT item_id, unnest(list_transform(list_zip(x[:-2], x[2:]), lambda p: p[1] || p[2])) AS b FROM (SELECT item_id, string_split(regexp_replace(lower(text), '{_OWN}', '', 'g'), '') AS x FROM benchmark))
 SELECT item_id, round(coalesce(exp(avg(l)), 1), 6) AS probability FROM benchmark LEFT JOIN s USING (item_id) LEFT JOIN l USING (b) GROUP BY 1""")
 def gibberish_score(spark, d):
     model = GibberishDetector().fit(table(spark, d, "documents").filter("lang = 'en'"))
