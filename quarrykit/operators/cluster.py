@@ -11,23 +11,25 @@ from ..plans.lineage import checkpointed
 from .columns import col
 
 
-def affinity_propagation(s: DataFrame, damping: float = 0.5, rounds: int = 30, preference: float | None = None, every: int = 5) -> DataFrame:
+def affinity_propagation(s: DataFrame, damping: float = 0.5, rounds: int = 30, preference: float | None = None, every: int = 2, small: int = 1000) -> DataFrame:
     """(node, exemplar) from similarities (i, j, v), by message passing (Frey and Dueck, 2007) on the edges.
 
-    Missing edges are taken as minus infinity; a missing diagonal takes ``preference``,
-    by default the median similarity. Each round is two combining aggregates per edge
+    Missing edges are taken as minus infinity; the diagonal is ``preference``, by default
+    the median similarity of different nodes. Each round is two combining aggregates per edge
     set; every few rounds the messages are checkpointed. A node whose messages name no
-    exemplar joins the most similar one, or itself.
+    exemplar joins the most similar one, or itself. Up to ``small`` nodes the same
+    messages are passed in numpy on the driver.
     """
     off = s.filter("i <> j").select("i", "j", F.col("v").cast("double").alias("s"))
     if preference is None:
         preference = off.agg(F.percentile_approx("s", 0.5, 10000)).first()[0] or 0.0
     nodes = s.select(F.col("i").alias("n")).unionByName(s.select(F.col("j").alias("n"))).distinct()
-    given = s.filter("i = j").select(F.col("i").alias("n"), F.col("v").cast("double").alias("own"))
-    diagonal = nodes.join(given, "n", "left").select(F.col("n").alias("i"), F.col("n").alias("j"), F.coalesce("own", F.lit(preference)).alias("s"))
+    diagonal = nodes.select(F.col("n").alias("i"), F.col("n").alias("j"), F.lit(float(preference)).alias("s"))
     e = off.unionByName(diagonal)
     tie = F.xxhash64("i", "j") / F.lit(float(1 << 63)) * F.lit(1e-9) * (F.abs("s") + 1e-3)
     e = checkpointed(e.withColumn("s", F.col("s") + tie).withColumn("r", F.lit(0.0)).withColumn("a", F.lit(0.0)))
+    if nodes.limit(small + 1).count() <= small:
+        return _propagate(e, damping, rounds)
     for k in range(rounds):
         sums = e.withColumn("t", F.col("a") + F.col("s"))
         top = sums.groupBy("i").agg(F.max(F.struct("t", "j")).alias("m"))
@@ -46,6 +48,40 @@ def affinity_propagation(s: DataFrame, damping: float = 0.5, rounds: int = 30, p
     return nodes.join(exemplars, nodes["n"] == exemplars["x"], "left").join(best, nodes["n"] == best["i"], "left").select(F.col("n").alias("node"), F.coalesce("x", "near", "n").alias("exemplar"))
 
 
+def _propagate(e: DataFrame, damping: float, rounds: int) -> DataFrame:
+    """The rounds of :func:`affinity_propagation` on a dense matrix of few nodes."""
+    pdf = e.select("i", "j", "s").toPandas()
+    names = sorted(set(pdf["i"]) | set(pdf["j"]))
+    at = {x: k for k, x in enumerate(names)}
+    n = len(names)
+    s = np.full((n, n), -1e300)
+    s[pdf["i"].map(at).to_numpy(int), pdf["j"].map(at).to_numpy(int)] = pdf["s"]
+    known, rows = s > -1e300, np.arange(n)
+    r, a = np.zeros((n, n)), np.zeros((n, n))
+    for _ in range(rounds if n > 1 else 0):
+        t = np.where(known, a + s, -1e300)
+        best = t.argmax(1)
+        first = t[rows, best]
+        t[rows, best] = -1e300
+        limit = np.repeat(first[:, None], n, 1)
+        limit[rows, best] = t.max(1)
+        r = np.where(known, damping * r + (1 - damping) * np.maximum(s - limit, -1e300), 0.0)
+        up = np.maximum(r, 0.0)
+        np.fill_diagonal(up, 0.0)
+        p, own = up.sum(0), r.diagonal()
+        new = np.minimum(0.0, own + p - up)
+        np.fill_diagonal(new, p)
+        a = np.where(known, damping * a + (1 - damping) * new, 0.0)
+    chosen = np.flatnonzero((r + a).diagonal() > 0)
+    out = []
+    for k in range(n):
+        near = [x for x in chosen if x != k and known[k, x]]
+        out.append((names[k], names[k] if k in chosen or not near else names[max(near, key=lambda x: (s[k, x], x))]))
+    kind = e.schema["i"].dataType.simpleString()
+    plain = [(x.item() if hasattr(x, "item") else x, y.item() if hasattr(y, "item") else y) for x, y in out]
+    return e.sparkSession.createDataFrame(plain, f"node {kind}, exemplar {kind}")
+
+
 def jaccard_similarities(df: DataFrame, id_col: str, items: str) -> DataFrame:
     """(i, j, v): 1 on the diagonal, else minus the Jaccard distance; disjoint pairs (-1) included, empty sets equal each other.
 
@@ -71,13 +107,14 @@ def cluster_sets(df: DataFrame, id_col: str, items: str, **options) -> DataFrame
 def hdbscan(d: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None, most: int = 5000) -> DataFrame:
     """(node, cluster, exemplar) from distances (i, j, v); cluster -1 is noise; the exemplar is a node id, the cluster's most central.
 
-    Core distances and mutual reachability are joins; the spanning tree and the condensed
+    A node counts among its own ``min_samples`` neighbours. Core distances and mutual
+    reachability are joins; the spanning tree and the condensed
     tree run on the driver, hence at most ``most`` nodes.
     """
     k = min_samples or min_cluster_size
     edges = d.filter("i <> j").select("i", "j", F.col("v").cast("double").alias("v"))
     both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")).groupBy("i", "j").agg(F.min("v").alias("v"))
-    core = both.groupBy("i").agg(F.element_at(F.slice(F.array_sort(F.collect_list("v")), 1, k), -1).alias("core"))  # at most ``most`` values a node
+    core = both.groupBy("i").agg(F.element_at(F.slice(F.array_sort(F.collect_list("v")), 1, max(k - 1, 1)), -1).alias("core"))  # at most ``most`` values a node
     if core.count() > most:
         raise ValueError(f"over {most} nodes")
     reach = both.filter("i < j").join(core, "i").join(core.select(F.col("i").alias("j"), F.col("core").alias("core_j")), "j").select("i", "j", F.greatest("v", "core", "core_j").alias("w"), "v")

@@ -46,7 +46,7 @@ def average_ranks(df: DataFrame, column: str, to: str) -> DataFrame:
 
 def pair_correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> float | None:
     """One pair, on rows where both are known."""
-    own = _plain(df, [x, y])
+    own = _plain(df, [*dict.fromkeys([x, y])])
     if method == "pearson":
         return own.agg(safe_corr(col(x), col(y))).first()[0]
     both = own.filter(col(x).isNotNull() & col(y).isNotNull())

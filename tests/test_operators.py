@@ -210,11 +210,14 @@ def test_outliers_and_stats(spark):
 def test_clusters(spark):
     x = [0.0, 0.1, 0.2, 5.0, 5.1, 5.2, 5.3]
     d = matrix.dense(spark, np.abs(np.subtract.outer(x, x)))
-    ap = cluster.affinity_propagation(d.withColumn("v", -F.col("v")), rounds=20).collect()
+    ap = cluster.affinity_propagation(d.withColumn("v", -F.col("v")), rounds=100, damping=0.8).collect()
     groups = {}
     for r in ap:
         groups.setdefault(r.exemplar, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3, 4, 5, 6]]
+    for rounds in (1, 3):  # the distributed messages agree with the dense ones
+        one, two = (sorted(map(tuple, cluster.affinity_propagation(d.withColumn("v", -F.col("v")), rounds=rounds, small=n).collect())) for n in (1000, 0))
+        assert one == two
     h = {r.node: r.cluster for r in cluster.hdbscan(d, 3).collect()}
     assert len({h[0], h[1], h[2]}) == 1 and len({h[3], h[4], h[5], h[6]}) == 1 and h[0] != h[3]
 
