@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, sliced
 
 #: Words that one Python worker remembers, about 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 350_000
 
 
 class Encoder:
