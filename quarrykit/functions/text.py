@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,7 +189,8 @@ def extract_phrases(df: DataFrame, group: str, order: str, text: str, min_length
                         found[p] = found.get(p, 0) + 1
             seen = f"{seen}||{t}" if seen else t
         rows = [(p, n) for p, n in sorted(found.items()) if n >= min_freq]
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(rows), "phrase": [p for p, _ in rows], "freq": [n for _, n in rows]})
+        # explicit types: a list without phrases would otherwise become a column of floats
+        return pd.DataFrame({"g": pdf["g"].iloc[:1].repeat(len(rows)).to_numpy(), "phrase": np.array([p for p, _ in rows], object), "freq": np.array([n for _, n in rows], np.int64)})
 
     own = df.select(col(group).alias("g"), col(order).alias("o"), col(text).alias("t"))
     return own.groupBy("g").applyInPandas(fold, f"g {kind}, phrase string, freq bigint").withColumnRenamed("g", group)
