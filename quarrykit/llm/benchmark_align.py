@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds that no alignment lacks, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,47 +55,101 @@ def _local(item: list[bytes], window: list[bytes], stop: int | None = None) -> t
     return best, end
 
 
-class Matcher:
-    """Finds items of one block in a text: ``items`` are (id, words), ``seeds`` maps a gram to its places (item, position)."""
+def seeds_needed(m: int, gram: int, min_score: float) -> tuple[int, int]:
+    """(n, hits): every alignment of ``m`` words that reaches ``min_score`` holds at least ``hits`` of the item's n-word places.
+
+    k matches parted by x mismatches and y inserted words (a dropped item word costs as
+    much as an inserted one and uses up a word) score 2k - x - 2y, with k + x <= m, in
+    x + y + 1 runs at most, so at least k - (n - 1)(x + y + 1) places lie within runs. n is
+    the greatest up to ``gram`` that leaves a place in every such alignment.
+    """
+    need = min_score * MATCH * m
+    for n in range(min(gram, m), 1, -1):
+        hits = m
+        for x in range(m):
+            k = m - x  # a match more pays for an inserted word more, so no smaller k leaves fewer places
+            y = int((MATCH * k + MISMATCH * x - need + 1e-9) // -GAP)
+            if y < 0:
+                break
+            hits = min(hits, k - (n - 1) * (x + y + 1))
+        if hits > 0:
+            return n, hits
+    return 1, max(1, int(np.ceil(need / MATCH - 1e-9)))
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], seeds: dict[int, dict[bytes, list[tuple[int, int]]]], min_score: float):
-        self.items, self.seeds, self.min_score = items, seeds, min_score
-        self.keys = {n: frozenset(s) for n, s in seeds.items()}
+
+class Matcher:
+    """Finds items of one block in a text: ``items`` are (id, words); every place of an item is a seed."""
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], gram: int, min_score: float):
+        self.items, self.min_score = items, min_score
+        sizes = {m: seeds_needed(m, gram, min_score) for m in {len(w) for _, w in items}}
+        self.least = np.array([sizes[len(w)][1] for _, w in items], np.int64)
+        seeds: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for k, (_, words) in enumerate(items):
+            n = sizes[len(words)][0]
+            own = seeds.setdefault(n, {})
+            for q, g in enumerate(_grams(words, n)):
+                own.setdefault(g, []).append((k, q))
+        self.seeds = {n: {g: np.array(x, np.int64) for g, x in own.items()} for n, own in seeds.items()}
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item id, score, seeds, start, end) per aligned passage, start and end in code points."""
         raw = plain_bytes(text)
         words = raw.split()
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for n, keys in self.keys.items():
-            if n > len(words) or keys.isdisjoint(_grams(words, n)):
-                continue
-            for p, g in enumerate(_grams(words, n)):
-                if g in keys:
-                    for item, q in self.seeds[n][g]:
-                        m = len(self.items[item][1])
-                        slack = max(4, m // 4)
-                        spans.setdefault(item, []).append((max(0, p - q - slack), min(len(words), p - q + m + slack)))
         out, places = [], None
-        for item, found in sorted(spans.items()):
-            found.sort()
-            merged = [[*found[0], 0]]
-            for a, b in found:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                    merged[-1][2] += 1
-                else:
-                    merged.append([a, b, 1])
+        for item, n, p, q in self._hits(words):
             own_id, own = self.items[item]
-            for a, b, hits in merged:
+            m, least = len(own), self.least[item]
+            slack = max(0, int((1 - self.min_score) * m + 1e-9))
+            low = p - q - slack
+            ends = p - q + m + slack
+            dense = np.searchsorted(p, ends) - np.searchsorted(p, low) >= least
+            spans: list[list[int]] = []
+            for a, b in sorted(zip(np.maximum(low[dense], 0).tolist(), np.minimum(ends[dense], len(words)).tolist())):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], b)
+                else:
+                    spans.append([a, b])
+            while spans:
+                a, b = spans.pop()
+                if np.searchsorted(p, b - n + 1) - np.searchsorted(p, a) < least:
+                    continue
                 score, s, e = align(own, words[a:b])
-                if score >= self.min_score * MATCH * len(own):
-                    if places is None:
-                        places = [x.span() for x in re.finditer(rb"\S+", raw, re.ASCII)]
-                    start, end = (len(raw[:x].decode("utf-8", "surrogatepass")) for x in (places[a + s][0], places[a + e - 1][1]))
-                    out.append((own_id, score / (MATCH * len(own)), hits, start, end))
+                if score < self.min_score * MATCH * m:
+                    continue
+                if places is None:
+                    places = [x.span() for x in re.finditer(rb"\S+", raw, re.ASCII)]
+                start, end = (len(raw[:x].decode("utf-8", "surrogatepass")) for x in (places[a + s][0], places[a + e - 1][1]))
+                hits = int(np.searchsorted(p, a + e - n + 1) - np.searchsorted(p, a + s))
+                out.append((own_id, score / (MATCH * m), hits, start, end))
+                spans += [[a, a + s], [a + e, b]]
         return out
 
+    def _hits(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(item, n, places in the text, places in the item) of each item that may align, by place in the text."""
+        for n, seeds in self.seeds.items():
+            found = seeds.keys() & set(_grams(words, n))
+            if not found:
+                continue
+            every = np.concatenate([seeds[g] for g in found])
+            counts = np.bincount(every[:, 0], minlength=len(self.items))
+            likely = (counts >= self.least) & (counts > 0)
+            if not likely.any():
+                continue
+            at, own = [], []
+            for p, g in enumerate(_grams(words, n)):
+                if g in found:
+                    x = seeds[g]
+                    x = x[likely[x[:, 0]]]
+                    at.append(np.full(len(x), p, np.int64))
+                    own.append(x)
+            p, own = np.concatenate(at), np.concatenate(own)
+            order = np.argsort(own[:, 0], kind="stable")
+            p, own = p[order], own[order]
+            cuts = np.flatnonzero(np.diff(own[:, 0])) + 1
+            for x, y in zip(np.split(p, cuts), np.split(own, cuts)):
+                yield int(y[0, 0]), n, x, y[:, 1]
+
 
 def _grams(words: list[bytes], n: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*[words[k:] for k in range(n)]))
@@ -117,46 +170,19 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes
         yield block
 
 
-def _matcher(docs: DataFrame, text_col: str, items: list, gram: int, rarest: float, min_score: float) -> Matcher:
-    """Seeds of one block: per item the rarest share of its grams, by the number of rows of ``docs`` that hold them."""
-    every: dict[int, set[bytes]] = {}
-    for _, words in items:
-        every.setdefault(min(gram, len(words)), set()).update(_grams(words, min(gram, len(words))))
-    sent = docs.sparkSession.sparkContext.broadcast(every)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for b in sliced(batches, "t"):
-            for t in b.column("t").to_pylist():
-                words = plain_bytes(t).split()
-                for n, grams in sent.value.items():
-                    seen.update(grams.intersection(_grams(words, n)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "gram binary, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    df = {bytes(r.gram): r.n for r in rows}
-    seeds: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    for k, (_, words) in enumerate(items):
-        n = min(gram, len(words))
-        places = sorted(((df.get(g, 0), q, g) for q, g in enumerate(_grams(words, n))))
-        for _, q, g in places[: max(1, -(-int(len(places) * rarest * 100) // 100), min(4, len(places)))]:
-            seeds.setdefault(n, {}).setdefault(g, []).append((k, q))
-    return Matcher(items, seeds, min_score)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = 3, rarest: float = 0.6, min_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = 3, min_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per passage of ``docs`` that aligns with a benchmark item.
 
     Words are cut at white space after lower-casing and blanking ASCII punctuation.
-    Each item's seeds are the ``rarest`` share of its ``gram``-word sequences (at least
-    4), rarity being the number of rows of ``docs`` that hold one, so an item whose every
-    gram is frequent keeps seeds. A row that holds a seed is aligned with the item around
-    the seed, merged where seeds overlap, by Smith-Waterman over words; passages with
+    Every place of an item is a seed, of the most words, ``gram`` at most, of which any
+    alignment at ``min_score`` must hold one whole (see :func:`seeds_needed`: 2 words at
+    0.4 from 6 words on). Where a row holds as many seeds as such an alignment needs, it
+    is aligned with the item around them by Smith-Waterman over words; passages with
     ``min_score`` of the item's full score are kept. Columns: id, item_id, score (0 to 1),
     n_seeds, start, end (code points).
 
     The benchmark is sent in blocks of about ``block_bytes`` of text, each compared with
-    all rows in one scan for counts and one for matches; documents are never shuffled.
+    all rows in one scan; documents are never shuffled.
     Null or empty texts and items match nothing; repeated rows and items give rows of
     their own; an empty table on either side gives an empty result.
     """
@@ -164,7 +190,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = f"id {kinds[0]}, item_id {kinds[1]}, score double, n_seeds int, start bigint, end bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(_matcher(docs, text_col, items, gram, rarest, min_score))
+        sent = docs.sparkSession.sparkContext.broadcast(Matcher(items, gram, min_score))
         item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -177,11 +203,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = 3, rarest: float = 0.6, min_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = 3, min_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` without the rows in which :func:`find_contamination` finds a passage; nothing is shuffled."""
     at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(_matcher(docs, text_col, items, gram, rarest, min_score))
+        sent = docs.sparkSession.sparkContext.broadcast(Matcher(items, gram, min_score))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -276,6 +276,32 @@ def test_decontamination(spark, corpus, nothing):
     assert benchmark_align.find_contamination(nothing, bench).count() == 0 and benchmark_align.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark, nothing):
+    rng = random.Random(12)
+    items = [" ".join(rng.choice(WORDS["en"]) + rng.choice(["", "s", "er", "ing", "ed"]) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 20, 33, 50, 50)]
+    for beside in (0, 1, 5):
+        texts = [passage(rng, rng.randint(1, 300)) for _ in range(20)] + items[6:] * beside
+        for t in items[6:]:
+            for every in (3, 4, 5):
+                texts.append("pre " + " ".join(f"new{k}" if k % every == 1 else w for k, w in enumerate(t.split())) + " post")
+                texts.append(" ".join(f"{w} new{k}" if k % every == 1 else w for k, w in enumerate(t.split())))
+                texts.append(" ".join(w for k, w in enumerate(t.split()) if k % every != 1))
+        m = benchmark_align.Matcher([(k, t.encode().split()) for k, t in enumerate(items)], 3, 0.4)
+        for t in texts:
+            best = {k: smith_waterman(i.split(), t.split()) / (2 * len(i.split())) for k, i in enumerate(items)}
+            got = {}
+            for k, score, *_ in m.matches(t):
+                got[k] = max(score, got.get(k, 0))
+            assert got == {k: v for k, v in best.items() if v >= 0.4}
+    item = " ".join(f"q{k}" for k in range(50))
+    edited = " ".join("new" if k % 4 == 1 else w for k, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(1, edited, "en", "s", 0), (2, item, "en", "s", 0), (3, f"{item} and then {edited}", "en", "s", 0)], DOCS)
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    found = benchmark_align.find_contamination(docs, bench).collect()
+    assert sorted((r.doc_id, round(r.score, 2)) for r in found) == [(1, 0.62), (2, 1.0), (3, 0.62), (3, 1.0)]
+    assert benchmark_align.drop_contaminated(docs, bench).count() == 0
+
+
 def test_block_parser():
     html = '<head><title>t</title></head><body><div class="nav main"><a href="x>y">Go</a></div><p>One &amp; two<br>three<p>Four <b>five</b><script>var a="</p>"</script><!-- c --><ul><li>a<li>b</ul>tail &#233;'
     got = block_lstm.blocks(html)
