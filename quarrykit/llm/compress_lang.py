@@ -22,17 +22,31 @@ def normalise(text: str) -> str:
     return f" {_NOT_LETTERS.sub(' ', text.lower())} "
 
 
+def _cut(raw: bytes, size: int) -> Iterator[bytes]:
+    """``raw`` in pieces of ``size`` bytes at most, cut before blanks where there are any."""
+    at = 0
+    while len(raw) - at > size:
+        end = raw.rfind(b" ", at + 1, at + size)
+        end = at + size if end < 0 else end
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 class Classifier:
     """Holds one raw-content dictionary per language; encodes, compares, predicts.
 
     ``contents`` maps a language to its dictionary, ``sizes`` to its number of training
     rows, by which ties are settled. Texts below ``short`` bytes also encode each word
     and each pair of words by itself, since whole bytes of one small frame tell little.
+    Texts over ``block`` bytes are encoded whole in blocks, each with the fresh
+    dictionary, and sizes are summed: a dictionary saves a bounded number of bytes a frame,
+    so in a single frame margins would shrink as texts grow.
     """
 
-    def __init__(self, contents: dict[str, bytes], sizes: dict[str, int], level: int = 3, short: int = 300):
+    def __init__(self, contents: dict[str, bytes], sizes: dict[str, int], level: int = 3, short: int = 300, block: int = 32_768):
         self.langs = sorted(contents, key=lambda x: (-sizes.get(x, 0), x))
-        self.short = short
+        self.short, self.block = short, block
         self.encoders = []
         for x in self.langs:
             d = zstandard.ZstdCompressionDict(contents[x], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -45,7 +59,7 @@ class Classifier:
         if not self.langs or not any(c.isalpha() for c in plain):
             return UNKNOWN, 0.0, 0.0
         raw = plain.encode("utf-8", "surrogatepass")
-        frames = [raw]
+        frames = list(_cut(raw, self.block))
         if len(raw) < self.short:
             w = raw.split()
             frames += [b" %b " % x for x in w] + [b" %b %b " % x for x in zip(w, w[1:])]
@@ -97,8 +111,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, min_margin: float = 0.005, level: int = 3) -> DataFrame:
     """The input's columns kept aside, one row per input row: id, held_out, lang_pred, score, margin, accepted.
 
-    The whole text is encoded with each language's dictionary and the smallest encoding
-    wins. ``accepted`` is false where the runner-up is within ``min_margin`` of the best,
+    The whole text is encoded, in blocks, with each language's dictionary and the smallest
+    encoding wins. ``accepted`` is false where the runner-up is within ``min_margin`` of the best,
     and where the prediction is ``und``: a null text or one without letters, or nothing to
     learn from. ``score`` (0 to 1) grows with the relative margins. By default rows whose
     crc32 of the id leaves remainder 2 by 4 are held out from training; neither id,
