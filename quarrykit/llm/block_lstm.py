@@ -21,12 +21,15 @@ WIDTH = PATH + WORDS + EXTRA
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|object|svg|math|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>",
     re.I | re.S,
 )
+_SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template", "object", "svg", "math")}
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_IN_HEAD = frozenset("html head title meta link base basefont bgsound noframes noscript template script style".split())
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br center nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +42,10 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
 
     Comments, head, scripts and styles hold no text. Inline elements do not part blocks;
     a line break is white space. Character references are decoded after the markup is
-    cut, white space is collapsed, and unclosed or stray tags are tolerated.
+    cut, white space is collapsed, and unclosed or stray tags are tolerated: head ends at
+    its end tag, body, or the first tag or text that can't stand in it; svg and math may
+    close themselves; noscript, template, object, svg and math without an end tag hide
+    nothing.
     """
     html = html or ""
     out: list[tuple[tuple[str, ...], str, float]] = []
@@ -56,17 +62,33 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             said.clear()
             linked = 0
 
-    for m in _TAG.finditer(html):
+    in_head, unclosed = False, set()
+    while m := _TAG.search(html, at):
         if m.start() > at:
             piece = html[at : m.start()]
-            said.append(piece)
-            if in_link:
-                linked += len(piece.strip())
+            in_head = in_head and not piece.strip()
+            if not in_head:
+                said.append(piece)
+                if in_link:
+                    linked += len(piece.strip())
         at = m.end()
         name = m[3] or m[6]
         if not name:
             continue
         name, close = name.lower(), m[2] or m[5]
+        if name == "head" or (in_head and name not in _IN_HEAD):
+            in_head = name == "head" and not close
+        if in_head and name == "title" and not close and (end := _TITLE_END.search(html, at)):
+            at = end.end()
+            continue
+        if name in _SKIPPED and not close:
+            empty = name in ("svg", "math") and (m[4] if m[3] else m[7]).endswith("/")
+            end = None if empty or name in unclosed else _SKIPPED[name].search(html, at)
+            if end:
+                at = end.end()
+            elif not empty:
+                unclosed.add(name)
+            continue
         if name in _INLINE:
             if name == "br":
                 said.append(" ")
