@@ -114,6 +114,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def with_row_key(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that orders by id, null ids last, and parts rows of one id by a 128-bit hash of the text.
+
+    Rows share a key only if id and text are equal, a null text counting as empty.
+    """
+    said = text_or_empty(text_col)
+    kind = df.schema[id_col].dataType
+    return df.withColumn(name, F.struct(
+        F.col(id_col).isNull().alias("absent"), F.coalesce(F.col(id_col), F.lit(0).cast(kind)).alias("id"),
+        F.xxhash64(said).alias("h"), F.xxhash64(F.lit(1), said).alias("k"),
+    ))
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
