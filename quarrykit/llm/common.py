@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -131,11 +132,69 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def release() -> None:
+    """Hand memory that Python has freed back to the system, so that a worker that Spark keeps stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def buckets(df: DataFrame, most_bytes: int = 256 << 20) -> int:
+    """Partitions such that each stands for about ``most_bytes`` of the input's files, no fewer than the session asks for."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(input_partitions(df.sparkSession), min(1 << 20, -(-size // most_bytes) if size < 1 << 60 else 0))
+
+
+def packed(keys: np.ndarray, records: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """``records`` (one row of bytes per key) as one blob per part, the part being key mod ``parts``."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, records = part[order], np.ascontiguousarray(records[order])
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(part)]):
+        yield int(part[a]), records[a:b].tobytes()
+
+
+def six_bytes(keys: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each key as six bytes."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def twice_at_most(keys: np.ndarray) -> np.ndarray:
+    """``keys`` sorted, those that repeat standing twice: all that is needed to tell repeated keys from others."""
+    keys = np.sort(keys)
+    third = np.zeros(len(keys), bool)
+    third[2:] = (keys[2:] == keys[1:-1]) & (keys[1:-1] == keys[:-2])
+    return keys[~third]
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Those keys that occur more than once, each once."""
+    keys = np.sort(keys)
+    again = keys[1:] == keys[:-1]
+    found = keys[1:][again]
+    return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
+
+
 class Bitmap:
-    """A fixed-size set of hashed keys: no false negatives, so it may only drop rows that a later join would drop."""
+    """A set of hashed keys of bounded size: no false negatives, so it may only drop rows that a later join would drop."""
+
+    def __init__(self, keys: DataFrame, column: str, bits: int | None = None):
+        """Build from a long ``column``; 2^bits bits reach the driver and the workers.
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 26):
-        """Build from a long ``column``; whatever the number of rows, 2^bits bits reach the driver and the workers."""
+        By default there are 16 to 32 bits a row up to 2^27 in all; beyond that the set only
+        passes more rows on to the join.
+        """
+        if bits is None:
+            bits = min(27, max(16, (16 * keys.count()).bit_length()))
         slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
         words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
         found = words.toArrow()
