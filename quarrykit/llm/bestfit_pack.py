@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -12,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced
+from .common import checkpointed, release, sliced
 
-#: Words that one Python worker remembers, about 200 bytes each.
-REMEMBERED = 350_000
+#: Words that one task remembers, about 200 bytes each.
+REMEMBERED = 200_000
 
 
 class Encoder:
@@ -24,7 +25,8 @@ class Encoder:
     Between single blanks (or line ends) the pre-tokenizer never looks across, so words
     are encoded once and remembered; unknown words of a batch are encoded together.
     Words with unusual characters, long words and texts with runs of white space go
-    through the tokenizer itself. The strings of special tokens are ordinary text.
+    through the tokenizer itself. Texts that hold the string of a special
+    token, which the tokenizer reads as that token, go to it whole.
     """
 
     def __init__(self, path: str):
@@ -32,11 +34,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
         self.quick = None
         if all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(pairs)):  # ids are merge ranks
@@ -82,6 +84,9 @@ class Encoder:
             if not t:
                 held.append(b"")
                 continue
+            if self.special.search(t):
+                held.append(self.whole(t))
+                continue
             words = t.replace("\n", " \n").split(" ")
             first = words.pop(0)
             if not first or "" in words or "\n" in words or first.strip() != first:
@@ -140,6 +145,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
                     rows.append(i), piece.append(k), start.append(at), length.append(cut - at), crc.append(crc32(ids[4 * at : 4 * cut]))
                     at, cut, k = cut, cut + window, k + 1
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+        _encoder(tokenizer).known.clear()
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
