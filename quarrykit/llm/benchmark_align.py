@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import release, sliced
 
 MATCH, MISMATCH, GAP = 2, -1, -2
 _PLAIN = bytes.maketrans(
@@ -210,8 +210,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         sent = docs.sparkSession.sparkContext.broadcast(Matcher(items, gram, min_score))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches, text_col):
                 yield b.filter(pa.array([not sent.value.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -207,3 +207,28 @@ class Bitmap:
         """Boolean per 64-bit key; False means surely absent."""
         slot = keys.astype(np.int64) & self.mask
         return (self.sent.value[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def parted(df: DataFrame, key: Column, marked: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose long ``key`` may be in the bitmap, and rows whose key is surely absent (a null key among them)."""
+    name = fresh_names(df, 1)[0]
+    keyed = df.withColumn(name, F.coalesce(key, F.lit(0)))
+
+    def only(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = marked.hits(b.column(b.num_columns - 1).to_numpy())
+                b = b.filter(pa.array(own if wanted else ~own))
+                if b.num_rows:
+                    yield b
+            release()
+
+        return run
+
+    return tuple(keyed.mapInArrow(only(x), keyed.schema).drop(name) for x in (True, False))
+
+
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``df`` has, upper and lower case being one."""
+    taken = {c.lower() for c in df.columns}
+    return [x for k in range(len(taken) + n) if (x := f"own_{k}") not in taken][:n]

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import release, sliced
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -130,6 +130,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             lang, score, margin = zip(*map(model.predict, b.column("t").to_pylist()))
             ok = [x != UNKNOWN and m >= min_margin for x, m in zip(lang, margin)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(lang), pa.array(score), pa.array(margin), pa.array(ok)], ["id", "held_out", "lang_pred", "score", "margin", "accepted"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double, margin double, accepted boolean").withColumnRenamed("id", id_col)
@@ -143,11 +144,12 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(*sent.value, level=level)
-        for b in batches:
+        for b in sliced(batches, text_col):
             keep = []
             for t in b.column(at):
                 x, _, m = model.predict(t.as_py())
                 keep.append(x != UNKNOWN and m >= min_margin)
             yield b.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, collision_pairs, components, sliced
+from .common import checkpointed, collision_pairs, components, release, sliced
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Position subsets such that any 5 of the 8 byte positions contain one of them whole.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in sliced(batches, "t"):
             fp = [int(_bits(_hashes(t, words))) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.int64())], ["id", "fp"])
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp bigint")
 
