@@ -30,9 +30,16 @@ def accepted_text(text: Column, accepted: str) -> Column:
     return F.regexp_replace(F.lower(text), f"[^{own}]", "")
 
 
-def bigrams(text: Column) -> Column:
-    n = F.length(text)
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i < n), lambda i: F.substring(text, i, F.lit(2)))
+def codes(text: Column, accepted: str) -> Column:
+    """Places (from 0) in ``accepted`` of a text's accepted characters, one pass over the text."""
+    clean = accepted_text(text, accepted)
+    return F.when(clean == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(clean, ""), lambda c: F.instr(F.lit(accepted), c) - 1))
+
+
+def transitions(found: Column, width: int) -> Column:
+    """Each pair of neighbours of an array of codes as one number, first * width + second; the array is an argument, never inside the lambda."""
+    n = F.greatest(F.size(found) - 1, F.lit(0))
+    return F.zip_with(F.slice(found, 1, n), F.slice(found, 2, n), lambda a, b: a * width + b)
 
 
 class GibberishDetector(Estimator, _Params, DefaultParamsReadable, DefaultParamsWritable):
@@ -49,11 +56,11 @@ class GibberishDetector(Estimator, _Params, DefaultParamsReadable, DefaultParams
 
         own = self.getOrDefault("accepted")
         k = self.getOrDefault("smoothing")
-        counts = df.select(F.explode(bigrams(accepted_text(col(self.getOrDefault("inputCol")), own))).alias("b")).groupBy("b").count().collect()  # at most len(accepted)^2 rows
+        counts = df.select(codes(col(self.getOrDefault("inputCol")), own).alias("c")).select(F.explode(transitions(F.col("c"), len(own))).alias("b")).groupBy("b").count().collect()  # at most len(accepted)^2 rows
         seen = {r[0]: r[1] for r in counts}
         logs: list[float] = []
-        for a in own:
-            row = [seen.get(a + b, 0) + k for b in own]
+        for a in range(len(own)):
+            row = [seen.get(a * len(own) + b, 0) + k for b in range(len(own))]
             logs += [log(x / sum(row)) for x in row]
         model = GibberishModel(logs=logs)
         for p in ("inputCol", "outputCol", "accepted", "smoothing"):
@@ -70,15 +77,20 @@ class GibberishModel(Model, _Params, DefaultParamsReadable, DefaultParamsWritabl
         self._defaults()
         self._set(**self._input_kwargs)
 
-    def probability(self, text: Column) -> Column:
+    def probability(self, found: Column) -> Column:
+        """From a column of :func:`codes`."""
         own, logs = self.getOrDefault("accepted"), self.getOrDefault("logs")
-        table = F.create_map(*[x for i, a in enumerate(own) for j, b in enumerate(own) for x in (F.lit(a + b), F.lit(logs[i * len(own) + j]))])
-        values = F.transform(bigrams(accepted_text(text, own)), lambda b: F.element_at(table, b))
+        table = F.array(*map(F.lit, logs))
+        values = F.transform(transitions(found, len(own)), lambda b: F.get(table, b))
         total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
         return F.exp(F.coalesce(F.try_divide(total, F.size(values)), F.lit(0.0)))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOrDefault("outputCol"), self.probability(col(self.getOrDefault("inputCol"))))
+        name = "codes"
+        while name in df.columns:
+            name += "_"
+        own = df.withColumn(name, codes(col(self.getOrDefault("inputCol")), self.getOrDefault("accepted")))
+        return own.withColumn(self.getOrDefault("outputCol"), self.probability(F.col(name))).drop(name)
 
     def predict(self, df: DataFrame, threshold: float, to: str = "gibberish") -> DataFrame:
         """1 where the probability is below the threshold."""

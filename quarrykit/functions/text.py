@@ -117,6 +117,12 @@ def join_bigrams(bigrams: Column, replacements: dict[str, str] | None = None) ->
     return F.aggregate(bigrams, start, step, lambda a: F.array_join(a["out"], " "))
 
 
+def neighbours(tokens: Column) -> Column:
+    """Structs (l, r) of each token and the next; the array is read twice, not once a token."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda x, y: F.struct(x.alias("l"), y.alias("r")))
+
+
 def compounding_decisions(df: DataFrame, text: str, dictionary: DataFrame, split_on_both: bool = True, threshold: int = 3) -> DataFrame:
     """(bigram, joined, n_bigram, n_joined, make_bigram) for word pairs also written as one word or with a hyphen.
 
@@ -129,7 +135,7 @@ def compounding_decisions(df: DataFrame, text: str, dictionary: DataFrame, split
         raise ValueError("threshold must be positive")
     t = F.split(col(text), " ")
     rows = df.select(F.monotonically_increasing_id().alias("d"), t.alias("t"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.struct(F.get("t", i - 1).alias("l"), F.get("t", i).alias("r")))
+    pairs = neighbours(F.col("t"))
     bi = rows.select("d", F.explode(pairs).alias("p")).filter("p.r IS NOT NULL").select("d", "p.l", "p.r").distinct().groupBy("l", "r").agg(F.count("*").alias("n_bigram"))
     one = rows.select("d", F.explode("t").alias("w")).select("d", F.regexp_replace("w", "-", "").alias("joined"), "w").distinct()
     uni = one.groupBy("joined").agg(F.count_distinct("d").alias("n_joined"), F.max((F.col("w") == F.col("joined"))).alias("plain"))
@@ -153,7 +159,7 @@ def correct_compounding(df: DataFrame, text: str, dictionary: DataFrame, split_o
     double = {r.bigram: r.joined for r in rows if not r.make_bigram}
     known = F.create_map(*[F.lit(x) for kv in single.items() for x in kv]) if single else F.create_map().cast("map<string,string>")
     t = F.transform(F.split(col(text), " "), lambda w: F.coalesce(F.try_element_at(known, w), w))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.struct(F.get(t, i - 1).alias("l"), F.get(t, i).alias("r")))
+    pairs = neighbours(t)
     return df.withColumn("corrected", F.when(F.size(t) > 1, join_bigrams(pairs, double)).otherwise(F.array_join(t, "")))
 
 
