@@ -98,7 +98,7 @@ ONE_LINE = frozenset(("copyright", "rights", "spdx"))
 MOST_WORDS = 220
 _WORDS = re.compile(r"[^\W_]+")
 _MARKER = re.compile(r"[\W_]*(?:\d{1,2}|[a-z])[.)]\s+", re.I)
-_STOP = re.compile(r"[.!?;:](?=\s|\Z)")
+_STOP = re.compile(r"(?<!\bv)[.!?;:](?=\s|\Z)")  # "v. 2.0" goes on
 
 
 def normalise(sentence: str) -> str:
