@@ -4,25 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, collision_pairs, components, release, sliced
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Position subsets such that any 5 of the 8 byte positions contain one of them whole.
-HALVES = (range(4), range(4, 8))
-COVERS = {
-    2: [(0, 1), (2, 3), (4, 5), (6, 7)],
-    3: [c for h in HALVES for c in combinations(h, 3)],
-    5: list(combinations(range(8), 5)),
-}
-
-
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Signed 64-bit SimHash of one text; 0 for a null or wordless text."""
     return int(_bits(_hashes(text, words)))
@@ -68,34 +60,24 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def shared_bytes(x: Column) -> Column:
-    """How many of the 8 byte positions agree, given the XOR of two fingerprints."""
-    return sum((F.when(x.bitwiseAND(F.lit(_mask((p,)))) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-
-
-def near_pairs(classes: DataFrame, distance: int = 3, subset: int = 3, limit: int = 2000) -> DataFrame:
+def near_pairs(classes: DataFrame, distance: int = 3, subset: int = 4, limit: int = 2000) -> DataFrame:
     """All pairs (id_a, id_b) of distinct fingerprints (column ``id``) at ``distance`` bits or fewer.
 
     Bits that differ touch at most ``distance`` of the 8 bytes, so linked fingerprints
-    agree in at least 8 - distance byte positions. The index posts each fingerprint
-    under every ``subset`` of positions from a cover: any 8 - distance positions hold
-    one of them, hence no link is missed. A colliding pair's agreeing positions are
-    tallied from the XOR; a pair below the guaranteed minimum, or already met under an
-    earlier subset, is left before verification by bit count. Wider subsets make
-    postings rarer at more rows a fingerprint (4 keys of 2 bytes, 8 of 3, 56 of 5).
+    agree in 8 - distance byte positions at least. A list of one byte value would hold one
+    fingerprint in 256, so the index posts each fingerprint under its bytes at every
+    ``subset`` of the 8 positions, which makes lists shorter by 256^subset. Pairs that
+    agree in b positions meet in comb(b, subset) lists: how often a pair meets is tallied
+    over the lists, pairs below comb(8 - distance, subset) meetings, the guaranteed
+    minimum, are left, and what remains is verified by bit count.
     """
-    if distance > 3:
-        raise ValueError("covers are given for up to 3 differing bits")
-    cover = COVERS[subset]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("id").bitwiseAND(F.lit(_mask(c))).alias("b")) for k, c in enumerate(cover)])
-    posts = classes.select("id", F.explode(keys).alias("p")).select(F.xxhash64("p.k", "p.b").alias("key"), "id", F.col("p.k").alias("k"))
-
-    def condition(a, b):
-        x = a("id").bitwiseXOR(b("id"))
-        first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(_mask(c))) == 0, F.lit(k)) for k, c in enumerate(cover)])
-        return (a("k") == b("k")) & (F.bit_count(x) <= distance) & (shared_bytes(x) >= 8 - distance) & (first == a("k"))
-
-    return collision_pairs(posts, ["k"], condition, limit).select("id_a", "id_b")
+    if not 1 <= subset <= 8 - distance:
+        raise ValueError(f"subsets of 1 to {8 - distance} positions can be guaranteed at {distance} bits")
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("id").bitwiseAND(F.lit(_mask(c))).alias("b")) for k, c in enumerate(combinations(range(8), subset))])
+    posts = classes.select("id", F.explode(keys).alias("p")).select(F.xxhash64("p.k", "p.b").alias("key"), "id")
+    met = collision_pairs(posts, [], lambda a, b: F.lit(True), limit).groupBy("id_a", "id_b").agg(F.count("*").alias("met"))
+    enough = met.filter(F.col("met") >= comb(8 - distance, subset))
+    return enough.filter(F.bit_count(F.col("id_a").bitwiseXOR(F.col("id_b"))) <= distance).select("id_a", "id_b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, subset: int | None = None) -> DataFrame:
@@ -108,14 +90,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the classes' sizes, so thousands of copies cost one posting. ``n_near`` counts the
     other rows linked directly and ``component_id`` is the least id that links reach.
     Repeated ids count as rows of their own; an empty table gives an empty result.
-    ``subset`` (2, 3 or 5 byte positions a key) follows the number of classes unless given;
-    any choice gives the same links.
+    ``subset``, the byte positions of a key, is 4 (70 keys a class), and 5 (56 keys, lists
+    shorter by 256) from 2^28 classes on; any choice gives the same links. Very long texts
+    are hashed whole; ties can't arise; extra columns may have any names.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
     classes = checkpointed(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumnRenamed("fp", "id"))
     if subset is None:
-        n = classes.count()
-        subset = 2 if n < 1 << 12 else 3 if n < 1 << 25 else 5
+        subset = 4 if classes.count() < 1 << 28 else 5
     pairs = checkpointed(near_pairs(classes, distance, subset))
     both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     links = both.join(classes.select(F.col("id").alias("id_b"), "n"), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.sum("n").alias("links"))
