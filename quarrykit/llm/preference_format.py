@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 OPEN, BODY, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
@@ -28,25 +30,75 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
     a pair's turn count once, the least (role, text) standing; rows without a pair id are
     left out. Equal conversations, or one-sided pairs whose other side is absent, give a
     prompt or a completion alone. Extra columns are ignored. Turns are joined and
-    aggregated by pair and turn, so no pair's turns are gathered in one task.
+    aggregated by pair and turn, so no pair's turns are gathered in one task, however long.
     """
     a = _turns(chosen, pair_col, turn_col, role_col, text_col).withColumnRenamed("said", "a")
     b = _turns(rejected, pair_col, turn_col, role_col, text_col).withColumnRenamed("said", "b")
-    both = a.join(b, ["pair_id", "turn"], "full")
+    return _rendered(a.join(b, ["pair_id", "turn"], "full"), trained_role)
+
+
+def _split(both: DataFrame) -> DataFrame:
+    """``both`` (pair_id, turn, a, b) with ``shared``: whether a turn belongs to the common prefix; b is at hand beside a."""
     split = both.filter(~F.col("a").eqNullSafe(F.col("b"))).groupBy("pair_id").agg(F.min("turn").alias("split"))
     known = both.join(split, "pair_id", "left")
-    shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
-    parts = F.when(shared, F.array(F.struct(F.lit("prompt").alias("part"), F.col("a").alias("said")))).otherwise(
-        F.filter(F.array(F.struct(F.lit("chosen").alias("part"), F.col("a").alias("said")), F.struct(F.lit("rejected").alias("part"), F.col("b").alias("said"))), lambda x: x["said"].isNotNull())
+    return known.withColumn("shared", F.col("split").isNull() | (F.col("turn") < F.col("split"))).drop("split")
+
+
+def _turn_text(said: Column) -> Column:
+    return F.concat(F.lit(OPEN), said["role"], F.lit(BODY), said["text"], F.lit(CLOSE))
+
+
+def _mask(said: Column, trained: Column) -> tuple[Column, Column]:
+    """Where the loss begins in a rendered turn, and how long it is."""
+    return (
+        F.when(trained, F.char_length(said["role"]) + len(OPEN) + len(BODY)).otherwise(0).cast("bigint"),
+        F.when(trained, F.char_length(said["text"]) + len(CLOSE)).otherwise(0).cast("bigint"),
     )
-    rows = known.select("pair_id", "turn", F.explode(parts).alias("p")).select("pair_id", "turn", "p.part", "p.said.role", "p.said.text")
-    head = F.concat(F.lit(OPEN), F.col("role"), F.lit(BODY))
-    trained = (F.col("part") != "prompt") & (F.col("role") == trained_role)
-    return rows.select(
-        "pair_id", "part", "turn", "role", F.concat(head, F.col("text"), F.lit(CLOSE)).alias("rendered"),
-        F.when(trained, F.char_length(head)).otherwise(0).cast("bigint").alias("mask_start"),
-        F.when(trained, F.char_length("text") + len(CLOSE)).otherwise(0).cast("bigint").alias("mask_length"),
-    )
+
+
+def _rendered(both: DataFrame, trained_role: str) -> DataFrame:
+    side = lambda part, c: F.struct(F.lit(part).alias("part"), F.col(c).alias("said"))
+    parts = F.when(F.col("shared"), F.array(side("prompt", "a"))).otherwise(F.filter(F.array(side("chosen", "a"), side("rejected", "b")), lambda x: x["said"].isNotNull()))
+    rows = _split(both).select("pair_id", "turn", F.explode(parts).alias("p")).select("pair_id", "turn", "p.part", "p.said")
+    start, length = _mask(F.col("said"), (F.col("part") != "prompt") & (F.col("said.role") == trained_role))
+    return rows.select("pair_id", "part", "turn", "said.role", _turn_text(F.col("said")).alias("rendered"), start.alias("mask_start"), length.alias("mask_length"))
+
+
+def pair_completions(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
+    """The same turns, the two completions side by side: one row per pair and turn.
+
+    Columns: pair_id, turn, prompt (the rendered turn of the common prefix, else null), and
+    for either completion ``chosen``/``rejected`` (the rendered turn, or null where that side
+    has none), with ``_mask_start`` and ``_mask_length``. Cases are as in
+    :func:`format_preferences`.
+    """
+    a = _turns(chosen, pair_col, turn_col, role_col, text_col).withColumnRenamed("said", "a")
+    b = _turns(rejected, pair_col, turn_col, role_col, text_col).withColumnRenamed("said", "b")
+    rows = _split(a.join(b, ["pair_id", "turn"], "full"))
+    out = ["pair_id", "turn", F.when(F.col("shared"), _turn_text(F.col("a"))).alias("prompt")]
+    for name, c in (("chosen", "a"), ("rejected", "b")):
+        start, length = _mask(F.col(c), ~F.col("shared") & F.coalesce(F.col(f"{c}.role") == trained_role, F.lit(False)))
+        out += [F.when(~F.col("shared"), _turn_text(F.col(c))).alias(name), start.alias(f"{name}_mask_start"), length.alias(f"{name}_mask_length")]
+    return rows.select(*out)
+
+
+def _swapped(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(pair_id, turn, a, b): each turn of a conversation beside that of its rejected twin, without joining the two.
+
+    Last assistant turns are one combining aggregate; only they are joined to the turns.
+    """
+    turns = checkpointed(_turns(conversations, conv_col, turn_col, role_col, text_col))
+    last = checkpointed(turns.filter("said.role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "said.text")).alias("x")).select("pair_id", F.col("x.turn").alias("last"), F.col("x.text").alias("reply")))
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
+    rows = turns.join(last.select("pair_id", "last").join(other, "pair_id", "left"), "pair_id", "left")
+    text = F.when(F.col("turn") == F.col("last"), F.coalesce("other", F.lit(""))).otherwise(F.col("said.text"))
+    b = F.when(F.col("last").isNull() | (F.col("turn") <= F.col("last")), F.struct(F.col("said.role").alias("role"), text.alias("text")))
+    return rows.select("pair_id", "turn", F.col("said").alias("a"), b.alias("b"))
+
+
+def swapped_preferences(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
+    """:func:`format_preferences` of :func:`swapped_replies`, planned in one piece; cases as there."""
+    return _rendered(checkpointed(_swapped(conversations, conv_col, turn_col, role_col, text_col)), trained_role)
 
 
 def swapped_replies(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

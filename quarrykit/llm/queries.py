@@ -80,7 +80,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_preference_format", preference_format.QUERY_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_format.format_preferences(*preference_format.swapped_replies(table(spark, sf_dir, "conversations")))
+    return preference_format.swapped_preferences(table(spark, sf_dir, "conversations"))
 
 
 @query("op2_license_rules")
