@@ -55,20 +55,43 @@ def _manifest(rows: DataFrame) -> tuple[DataFrame, int]:
     return placed.join(starts, "part").select("id", "copy", "length", "digest", (F.col("idx") + F.col("first")).alias("idx"), (F.col("offset") + F.col("begin")).alias("offset")), n
 
 
-def audit(original: DataFrame, replica: DataFrame, fanout: int = 16) -> DataFrame:
+def bucket_digests(rows: DataFrame, parts: int) -> DataFrame:
+    """(bucket, n, w0..w3): one 256-bit digest per hash range of ids, a replica's tree below its root.
+
+    A bucket's digest is the XOR of the SHA-256 of its records' id, copy and digest, so that
+    it is combined before the shuffle and no bucket is gathered; records are told apart by
+    copy, hence none cancels another.
+    """
+    h = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.col("copy").cast("string"), F.col("digest")), 256)
+    made = rows.select(bucket_of(parts).alias("bucket"), h.alias("h"))
+    words = [F.expr(f"bit_xor(cast(conv(substr(h, {16 * k + 1}, 16), 16, -10) AS bigint))").alias(f"w{k}") for k in range(4)]
+    return made.groupBy("bucket").agg(F.count("*").alias("n"), *words)
+
+
+def bucket_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(parts))
+
+
+def audit(original: DataFrame, replica: DataFrame, fanout: int = 16, bucket_rows: int = 1024) -> DataFrame:
     """Nodes at which two replicas differ, from the root down to the records.
 
     Both inputs have id, length and digest (see :func:`digests`). The original's records,
     by ascending id, are the leaves; a node spans ``fanout`` nodes of the level below and
     its digest is SHA-256 over theirs in order. The replica's tree takes its records by
-    id, with an empty digest for one that is missing. Roots are compared, and only children
-    of differing nodes are looked at further.
+    id, with an empty digest for one that is missing.
+
+    First either replica gets its own digests of hash ranges of ids, about ``bucket_rows``
+    records each, without regard to the other. Where all agree, so do the roots, and no
+    record is compared. Records are joined in the differing ranges only; elsewhere the
+    replica's leaves are known to be the original's. Then roots are compared, and only
+    children of differing nodes are looked at further.
 
     Returns level (0: record), node, first_id and last_id, offset and length of its bytes
     in the original, digest_a, digest_b, status (``range``, ``altered``, ``missing``), and
     for records only the replica has, ``extra`` with node and offset null. Equal replicas
     give no row, as do empty ones. Records without an id are left out; repeats of an id
-    are matched in order of their digests.
+    are matched in order of their digests, equal ones being alike; a null body counts as
+    empty, long ones are hashed whole, and other columns never matter.
     """
 
     def told(df: DataFrame) -> DataFrame:
@@ -77,9 +100,19 @@ def audit(original: DataFrame, replica: DataFrame, fanout: int = 16) -> DataFram
         return rest.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id ORDER BY digest, k)").cast("int")).drop("k")
 
     leaves, n = _manifest(told(original))
-    other = told(replica).select("id", "copy", F.col("digest").alias("digest_b"), F.col("length").alias("length_b"))
-    met = checkpointed(leaves.join(other, ["id", "copy"], "full"))
-    level = met.filter("idx IS NOT NULL").select(F.col("idx").alias("node"), F.col("id").alias("first_id"), F.col("id").alias("last_id"), "offset", "length", F.col("digest").alias("digest_a"), F.coalesce("digest_b", F.lit("")).alias("digest_b"))
+    other = checkpointed(told(replica))
+    parts = max(1, -(-n // bucket_rows))
+    words = ["n", "w0", "w1", "w2", "w3"]
+    one, two = (bucket_digests(x, parts).select("bucket", F.struct(*words).alias(s)) for x, s in ((leaves, "a"), (other, "b")))
+    differing = checkpointed(one.join(two, "bucket", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("bucket"))
+    schema = f"level int, node bigint, first_id {(kind := original.schema['id'].dataType.simpleString())}, last_id {kind}, offset bigint, length bigint, digest_a string, digest_b string, status string"
+    if differing.isEmpty():
+        return original.sparkSession.createDataFrame([], schema)
+    leaves, other = (x.withColumn("bucket", bucket_of(parts)) for x in (leaves, other))
+    other = other.join(differing, "bucket", "left_semi").select("id", "copy", F.col("digest").alias("digest_b"), F.col("length").alias("length_b"))
+    met = checkpointed(leaves.join(differing, "bucket", "left_semi").drop("bucket").join(other, ["id", "copy"], "full"))
+    same = leaves.join(differing, "bucket", "left_anti").drop("bucket").withColumn("digest_b", F.col("digest")).withColumn("length_b", F.col("length"))
+    level = met.filter("idx IS NOT NULL").unionByName(same).select(F.col("idx").alias("node"), F.col("id").alias("first_id"), F.col("id").alias("last_id"), "offset", "length", F.col("digest").alias("digest_a"), F.coalesce("digest_b", F.lit("")).alias("digest_b"))
     levels = [level]
     while n > 1:
         n = -(-n // fanout)
