@@ -18,6 +18,8 @@ from .common import sliced
 
 PATH, WORDS, EXTRA, HIDDEN = 96, 48, 8, 24
 WIDTH = PATH + WORDS + EXTRA
+#: A block's tag path names so many elements, from the nearest; elements may be nested deeper without end.
+NEAR = 200
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -58,10 +60,16 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if said:
             text = " ".join(unescape("".join(said)).split())
             if text:
-                out.append((tuple(x for _, x in stack), text, min(1.0, linked / len(text))))
+                out.append((tuple(x for _, x in stack[-NEAR:]), text, min(1.0, linked / len(text))))
             said.clear()
             linked = 0
 
+    def shut(k: int) -> None:
+        for gone, _ in stack[k:]:
+            opened[gone] -= 1
+        del stack[k:]
+
+    opened: dict[str, int] = {}
     in_head, unclosed = False, set()
     while m := _TAG.search(html, at):
         if m.start() > at:
@@ -97,27 +105,28 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         flush()
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                shut(k)
             in_link = 0
             continue
         if name in _VOID:
             continue
         if name in _ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            shut(len(stack) - 1)
         elif name in _SAME:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _SAME[name]:
                     break
                 if stack[k][0] == name or (name in ("dt", "dd") and stack[k][0] in ("dt", "dd")):
-                    del stack[k:]
+                    shut(k)
                     break
-        if len(stack) < 200:
-            attrs = m[4] if m[3] else m[7]
-            marks = " ".join(x.strip("\"'").lower() for x in _CLASS.findall(attrs)) if attrs else ""
-            stack.append((name, f"{name} {marks}".strip()))
+        attrs = m[4] if m[3] else m[7]
+        marks = " ".join(x.strip("\"'").lower() for x in _CLASS.findall(attrs)) if attrs else ""
+        stack.append((name, f"{name} {marks}".strip()))
+        opened[name] = opened.get(name, 0) + 1
     if at < len(html):
         said.append(html[at:])
     flush()
@@ -433,9 +442,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The whole page is read; every block is labelled with the context of all its page's
     blocks and kept whole or left whole. The labeller is trained on ``train_pages``
-    invented pages, never on the input. Null or empty html gives an empty text; repeated
-    rows give equal rows; an empty table gives an empty result. Only the three named
-    columns are read.
+    invented pages, never on the input. Null or empty html gives an empty text, and so does
+    markup without words; pages of any length and depth are read whole; repeated rows give
+    equal rows, null ids and urls stay null; an empty table gives an empty result. Only the
+    three named columns are read, whatever the others are called.
     """
     sent = pages.sparkSession.sparkContext.broadcast(trained(train_pages))
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
