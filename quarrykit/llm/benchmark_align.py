@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import release, sliced
 
@@ -183,15 +184,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     The benchmark is sent in blocks of about ``block_bytes`` of text, each compared with
     all rows in one scan; documents are never shuffled.
-    Null or empty texts and items match nothing; repeated rows and items give rows of
-    their own; an empty table on either side gives an empty result.
+    Null or empty texts and items match nothing, items without an id are left out, a null
+    row id stays null; repeated rows and items give rows of their own; of equal alignments
+    the one that ends first stands; texts of any length are read whole; extra columns may
+    have any names; an empty table on either side gives an empty result.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kinds[0]}, item_id {kinds[1]}, score double, n_seeds int, start bigint, end bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Matcher(items, gram, min_score))
-        item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
+        item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches, "t"):
@@ -204,7 +207,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = 3, min_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` without the rows in which :func:`find_contamination` finds a passage; nothing is shuffled."""
+    """``docs`` without the rows in which :func:`find_contamination` finds a passage; nothing is shuffled.
+
+    Rows with a null or empty text stay, null ids too; repeated rows go or stay together;
+    columns may have any names; an empty table stays empty, and an empty benchmark takes
+    nothing away.
+    """
     at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Matcher(items, gram, min_score))
