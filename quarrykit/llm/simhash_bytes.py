@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, collision_pairs, components, release, sliced
+from .common import checkpointed, collision_pairs, components, input_partitions, release, sliced
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -74,7 +74,8 @@ def near_pairs(classes: DataFrame, distance: int = 3, subset: int = 4, limit: in
     if not 1 <= subset <= 8 - distance:
         raise ValueError(f"subsets of 1 to {8 - distance} positions can be guaranteed at {distance} bits")
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("id").bitwiseAND(F.lit(_mask(c))).alias("b")) for k, c in enumerate(combinations(range(8), subset))])
-    posts = classes.select("id", F.explode(keys).alias("p")).select(F.xxhash64("p.k", "p.b").alias("key"), "id")
+    spread = classes.select("id").repartition(input_partitions(classes.sparkSession), "id")  # small rows, many posts each
+    posts = spread.select("id", F.explode(keys).alias("p")).select(F.xxhash64("p.k", "p.b").alias("key"), "id")
     met = collision_pairs(posts, [], lambda a, b: F.lit(True), limit).groupBy("id_a", "id_b").agg(F.count("*").alias("met"))
     enough = met.filter(F.col("met") >= comb(8 - distance, subset))
     return enough.filter(F.bit_count(F.col("id_a").bitwiseXOR(F.col("id_b"))) <= distance).select("id_a", "id_b")
