@@ -29,7 +29,7 @@ PATTERNS: dict[str, str] = {
     "time_of_day": r"(?:[01]?\d|2[0-3]):[0-5]\d(?:\s?[aApP]\.?[mM]\.?)?",
     "non_ascii": r"[^\x00-\x7F]",
     "url": r"(?:https?://(?:www\.)?)?[a-z\d]+(?:[-.][a-z\d]+)*\.[a-z]{2,5}(?::\d{1,5})?(?:/.*)?",
-    "special": r"""[`!@#*+,\-./:;'"|\\<>{}\[\]]""",
+    "special": r"""[`!@#*+,/:;'"|\\<>{}\[\]]""",
     "ordinal": r"\d+(?:st|nd|rd|th)",
     "version": r"\b(?:\d+\.){0,2}(?:\*|\d+)\b",
     "copyright": "\\(c\\)|©|®|™",
@@ -37,7 +37,7 @@ PATTERNS: dict[str, str] = {
     "repeated_any": r"(\S)\1\1+",
     "apostrophe_word": r"\w+'\w+(?:'\w+)?",
     "md5": r"[A-Fa-f\d]{32}",
-    "query_keywords": r"(?:(?<=q=|\+)([^$\"+#&,]+)(?!.*q=))",
+    "query_keywords": r"(?<=q=|\+)[^\"#$&+,]+(?!.*q=)",
     "html_tag": r"<[^\n]*?>",
 }
 

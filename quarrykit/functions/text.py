@@ -202,11 +202,16 @@ def extract_phrases(df: DataFrame, group: str, order: str, text: str, min_length
     return own.groupBy("g").applyInPandas(fold, f"g {kind}, phrase string, freq bigint").withColumnRenamed("g", group)
 
 
-def topics(df: DataFrame, tokens: str, k: int, n: int = 10, seed: int = 0, vocabulary: int = 20_000) -> DataFrame:
-    """(topic, words): the ``n`` heaviest words of each topic of a latent Dirichlet allocation."""
+def topics(df: DataFrame, tokens: str, k: int, n: int = 10, seed: int = 0, vocabulary: int | None = None) -> DataFrame:
+    """(topic, words): the ``n`` heaviest words of each topic of a latent Dirichlet allocation.
+
+    All words count; ``vocabulary`` keeps so many of the commonest only, where it is given.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
+    if vocabulary is None:
+        vocabulary = max(1, df.select(F.explode(col(tokens)).alias("w")).distinct().count())
     counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary).fit(df)
     model = LDA(k=k, seed=seed, maxIter=10).fit(counter.transform(df))
     words_ = F.array(*map(F.lit, counter.vocabulary))

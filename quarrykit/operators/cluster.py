@@ -93,7 +93,7 @@ def jaccard_similarities(df: DataFrame, id_col: str, items: str) -> DataFrame:
     long = own.select("id", F.explode("x").alias("item"))
     met = long.alias("p").join(long.alias("q"), "item").groupBy(F.col("p.id").alias("i"), F.col("q.id").alias("j")).agg(F.count("*").alias("n"))
     sized = own.select("id", F.size("x").alias("k"))
-    pairs = in_blocks(sized, "id", 4, lambda p: p.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), (F.col("k_a") + F.col("k_b")).alias("both")))
+    pairs = in_blocks(sized, "id", None, lambda p: p.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), (F.col("k_a") + F.col("k_b")).alias("both")))
     both = pairs.join(met, ["i", "j"], "left")
     share = F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)), F.col("both") - F.coalesce("n", F.lit(0))), F.lit(1.0))
     return both.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(share - 1).alias("v"))

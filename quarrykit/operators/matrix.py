@@ -35,12 +35,15 @@ def symmetric_matrix(df: DataFrame, column: str) -> DataFrame:
     return symmetrize(upper_matrix(df, column))
 
 
-def in_blocks(df: DataFrame, id_col: str, blocks: int, fn) -> DataFrame:
+def in_blocks(df: DataFrame, id_col: str, blocks: int | None, fn, rows_a_block: int = 2000) -> DataFrame:
     """Every ordered pair of rows as ``fn(a, b)``, a frame of columns suffixed _a and _b, by equi-joins of block pairs.
 
     For results that have a row per pair by definition. Each of ``blocks``^2 block pairs is a
-    join key of its own, so work spreads evenly and no side is broadcast.
+    join key of its own, so work spreads evenly and no side is broadcast. Without a number
+    of blocks there are as many as give each about ``rows_a_block`` rows.
     """
+    if blocks is None:
+        blocks = max(4, -(-df.count() // rows_a_block))
     own = df.withColumn("__k", F.pmod(F.xxhash64(col(id_col)), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = own.select(*[col(c).alias(f"{c}_a") for c in df.columns], F.col("__k").alias("__p"), every.alias("__q"))
@@ -48,13 +51,13 @@ def in_blocks(df: DataFrame, id_col: str, blocks: int, fn) -> DataFrame:
     return fn(a.join(b, ["__p", "__q"]).drop("__p", "__q"))
 
 
-def pairwise_difference(df: DataFrame, id_col: str, value: str, blocks: int = 4) -> DataFrame:
+def pairwise_difference(df: DataFrame, id_col: str, value: str, blocks: int | None = None) -> DataFrame:
     """(i, j, v) with v = value of j - value of i."""
     own = df.select(col(id_col).alias("id"), col(value).alias("x"))
     return in_blocks(own, "id", blocks, lambda p: p.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), (F.col("x_b") - F.col("x_a")).alias("v")))
 
 
-def hamming_pairs(df: DataFrame, id_col: str, column: str, blocks: int = 4) -> DataFrame:
+def hamming_pairs(df: DataFrame, id_col: str, column: str, blocks: int | None = None) -> DataFrame:
     """(i, j, v): at how many positions two equally long arrays differ."""
     own = df.select(col(id_col).alias("id"), col(column).alias("x"))
     d = F.size(F.filter(F.zip_with("x_a", "x_b", lambda p, q: ~p.eqNullSafe(q)), lambda x: x)).cast("bigint")
@@ -65,7 +68,7 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda a, v: a + v)
 
 
-def cosine_rows(df: DataFrame, id_col: str, column: str, blocks: int = 4) -> DataFrame:
+def cosine_rows(df: DataFrame, id_col: str, column: str, blocks: int | None = None) -> DataFrame:
     """(i, j, v): cosine of every two rows' vectors; null with a zero vector."""
     own = df.select(col(id_col).alias("id"), col(column).alias("x"), F.sqrt(dot(col(column), col(column))).alias("n"))
     v = F.try_divide(dot(F.col("x_a"), F.col("x_b")), F.nullif(F.col("n_a") * F.col("n_b"), F.lit(0.0)))

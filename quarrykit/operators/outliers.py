@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
 from .columns import col
 from .encode import scale
 from .matrix import gram
@@ -35,13 +36,43 @@ def robust_moments(x: np.ndarray, seed: int = 0, starts: int = 30, steps: int =
     return best[1], best[2]
 
 
+def squared_distance(names: list[str], mean: np.ndarray, cov: np.ndarray) -> Column:
+    inv = np.linalg.pinv(cov)
+    return sum(((F.col(a) - float(mean[i])) * (F.col(b) - float(mean[j])) * float(inv[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)), F.lit(0.0))
+
+
+def moments(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of all rows, from one aggregation."""
+    g = gram(df.withColumn("one", F.lit(1.0)), [*names, "one"])
+    mean = g[:-1, -1] / (g[-1, -1] or 1.0)
+    return mean, g[:-1, :-1] / (g[-1, -1] or 1.0) - np.outer(mean, mean)
+
+
+def concentrated(df: DataFrame, names: list[str], mean: np.ndarray, cov: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Concentration steps over all rows until the determinant stays: moments of the half of the rows nearest by the last moments."""
+    n, p, last = df.count(), len(names), None
+    if not n:
+        return mean, cov
+    share = min(1.0, ((n + p + 1) // 2) / n)
+    for _ in range(steps):
+        far = df.withColumn("d", squared_distance(names, mean, cov))
+        limit = far.agg(F.percentile_approx("d", share, 100_000)).first()[0]  # exact up to 100,000 different distances, then to 1e-5 of the ranks
+        mean, cov = moments(far.filter(F.col("d") <= limit), names)
+        det = float(np.linalg.det(np.atleast_2d(cov)))
+        if last is not None and abs(last - det) <= 1e-12 * max(1.0, abs(last)):
+            break
+        last = det
+    return mean, cov
+
+
 def mahalanobis_outliers(df: DataFrame, features: list[str], id_col: str, components: int = 2, threshold: float | None = 2.0, robust: bool = True, sample: int = 5000, seed: int = 0) -> DataFrame:
     """(id, distance, outlier): squared distance on ``components`` of z-scaled features.
 
     A row is an outlier at ``threshold`` standard deviations from the mean distance or
-    more, to either side; no threshold gives null flags. The robust covariance is
-    learned from a bounded sample of ``sample`` rows by hash of the id; scoring is a
-    projection over all rows.
+    more, to either side; no threshold gives null flags. The robust mean and covariance
+    are those of the half of all rows with the least determinant: only the starts come from
+    ``sample`` rows by hash of the id, each concentration step takes the distance quantile
+    and the moments below it over all rows.
     """
     own = scale(df.select(col(id_col).alias("id"), *[col(c).cast("double").alias(c) for c in features]).dropna(), features, "zscore")
     vectors = VectorAssembler(inputCols=features, outputCol="v").transform(own)
@@ -49,17 +80,12 @@ def mahalanobis_outliers(df: DataFrame, features: list[str], id_col: str, compon
     pcs = model.transform(vectors).select("id", vector_to_array("pc").alias("pc")).select("id", *[F.col("pc")[k].alias(f"c{k}") for k in range(components)])
     names = [f"c{k}" for k in range(components)]
     if robust:
+        pcs = checkpointed(pcs)  # read once a step
         rows = np.array([tuple(r)[1:] for r in pcs.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()], float)
-        mean, cov = robust_moments(rows, seed)
+        mean, cov = concentrated(pcs, names, *robust_moments(rows, seed))
     else:
-        one = pcs.withColumn("one", F.lit(1.0))
-        g = gram(one, [*names, "one"])
-        n = g[-1, -1]
-        mean = g[:-1, -1] / n
-        cov = g[:-1, :-1] / n - np.outer(mean, mean)
-    inv = np.linalg.pinv(cov)
-    dist = sum(((F.col(a) - float(mean[i])) * (F.col(b) - float(mean[j])) * float(inv[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)), F.lit(0.0))
-    scored = pcs.select("id", dist.alias("distance"))
+        mean, cov = moments(pcs, names)
+    scored = pcs.select("id", squared_distance(names, mean, cov).alias("distance"))
     if not threshold:
         return scored.withColumn("outlier", F.lit(None).cast("boolean"))
     m = scored.agg(F.avg("distance"), F.stddev_pop("distance")).first()

@@ -58,6 +58,35 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_totals(counts, "score", {"p": "tp", "q": "fp"}, descending=True).select("score", "p", "q", "tp", "fp")
 
 
+def roc_curves(df: DataFrame, label: str, score: str, fold: str, points: int = 100, most_folds: int = 100) -> DataFrame:
+    """(fold, fpr, tpr): each fold's ROC curve read at ``points`` even false positive rates, and their mean as fold null.
+
+    Between its points a curve runs straight; where it rises at one rate the highest point
+    counts. The mean curve begins at 0 and ends at 1. Folds without both classes have no
+    curve. Folds are few: each is ordered on its own, without a single-task window.
+    """
+    names = [r[0] for r in df.select(col(fold)).filter(col(fold).isNotNull()).distinct().limit(most_folds + 1).collect()]
+    if len(names) > most_folds:
+        raise ValueError(f"over {most_folds} folds")
+    kind = df.schema[fold].dataType.simpleString()
+    last = points - 1
+    out = df.sparkSession.createDataFrame([], f"fold {kind}, k int, tpr double")
+    for name in sorted(names):
+        pts = roc_points(df.filter(col(fold) == F.lit(name)), label, score)
+        all_ = pts.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))  # one row
+        seg = pts.crossJoin(F.broadcast(all_)).filter("np > 0 AND nq > 0").select(
+            ((F.col("fp") - F.col("q")) / F.col("nq")).alias("x0"), (F.col("fp") / F.col("nq")).alias("x1"), ((F.col("tp") - F.col("p")) / F.col("np")).alias("y0"), (F.col("tp") / F.col("np")).alias("y1")
+        )
+        grid = F.sequence(F.ceil(F.col("x0") * last - 1e-9).cast("int"), F.floor(F.col("x1") * last + 1e-9).cast("int"))
+        # a segment may hold no grid point: sequences never run backwards here
+        some = seg.filter(F.ceil(F.col("x0") * last - 1e-9) <= F.floor(F.col("x1") * last + 1e-9)).select("*", F.explode(grid).alias("k"))
+        y = F.when(F.col("x1") == F.col("x0"), F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("k") / F.lit(last) - F.col("x0")) / (F.col("x1") - F.col("x0")))
+        out = out.unionByName(some.groupBy("k").agg(F.max(y).alias("tpr")).select(F.lit(name).cast(kind).alias("fold"), "k", "tpr"))
+    own = out.select("fold", "k", (F.col("k") / F.lit(last)).alias("fpr"), "tpr")
+    mean = own.groupBy("k").agg(F.avg("tpr").alias("tpr")).select(F.lit(None).cast(kind).alias("fold"), (F.col("k") / F.lit(last)).alias("fpr"), F.when(F.col("k") == 0, 0.0).when(F.col("k") == last, 1.0).otherwise(F.col("tpr")).alias("tpr"))
+    return own.drop("k").unionByName(mean)
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by trapezoids; null when a class is absent."""
     pts = roc_points(df, label, score)
@@ -94,6 +123,55 @@ def sum_of_squares_r2(df: DataFrame, label: str, p: str) -> DataFrame:
     return t.select(F.try_divide(F.expr("2 * py - pp - n * pi * pi"), F.nullif(F.expr("n * pi * (1 - pi)"), F.lit(0.0))).alias("ss_r2"))
 
 
+def multiclass_metric(df: DataFrame, label: str, prediction: str, name: str, **args) -> float:
+    """One figure by name: accuracy, precision/recall/fMeasure/truePositiveRate/falsePositiveRate of a ``label``, or a weighted one.
+
+    Weighted figures weigh the labels' own by their number of rows; ``beta`` (1) enters the
+    F measures. Figures that can't be told are 0.
+    """
+    rows = confusion(df, label, prediction).collect()  # at most labels^2 rows
+    n = sum(r.n for r in rows)
+    real, said, hit = ({} for _ in range(3))
+    for r in rows:
+        real[r.label] = real.get(r.label, 0) + r.n
+        said[r.prediction] = said.get(r.prediction, 0) + r.n
+        if r.label == r.prediction:
+            hit[r.label] = r.n
+    beta = args.get("beta", 1.0)
+    div = lambda a, b: a / b if b else 0.0
+
+    def f(c) -> float:
+        p, r = div(hit.get(c, 0), said.get(c, 0)), div(hit.get(c, 0), real.get(c, 0))
+        return div((1 + beta * beta) * p * r, beta * beta * p + r)
+
+    own = {
+        "precision": lambda c: div(hit.get(c, 0), said.get(c, 0)), "recall": lambda c: div(hit.get(c, 0), real.get(c, 0)), "truePositiveRate": lambda c: div(hit.get(c, 0), real.get(c, 0)),
+        "falsePositiveRate": lambda c: div(said.get(c, 0) - hit.get(c, 0), n - real.get(c, 0)), "fMeasure": f,
+    }
+    if name == "accuracy":
+        return div(sum(hit.values()), n)
+    if name in own:
+        return float(own[name](args["of"]))
+    plain = {"weighted" + k[0].upper() + k[1:]: fn for k, fn in own.items()}
+    if name not in plain:
+        raise ValueError(f"no metric {name}")
+    return float(div(sum(plain[name](c) * k for c, k in real.items()), n))
+
+
+class MulticlassEvaluator(Evaluator):
+    """:func:`multiclass_metric` as an evaluator."""
+
+    def __init__(self, metricName: str, predictionCol: str = "prediction", labelCol: str = "label", **args):
+        super().__init__()
+        self.name, self.prediction, self.label, self.args = metricName, predictionCol, labelCol, args
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return multiclass_metric(dataset, self.label, self.prediction, self.name, **self.args)
+
+    def isLargerBetter(self) -> bool:
+        return "false" not in self.name.lower()
+
+
 class FrameEvaluator(Evaluator):
     """An evaluator over a function that returns a one-row, one-column frame."""
 

@@ -79,9 +79,12 @@ def logit_summary(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def to_latex(table: DataFrame, caption: str = "", most: int = 1000) -> str:
-    """A LaTeX table of a small frame."""
+    """A LaTeX table of a small frame; over ``most`` rows are refused, never cut."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows")
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
-    lines = [" & ".join(map(cell, r)) + r" \\" for r in [table.columns, *table.limit(most).collect()]]
+    lines = [" & ".join(map(cell, r)) + r" \\" for r in [table.columns, *rows]]
     return "\n".join([r"\begin{table}", r"\begin{tabular}{" + "l" * len(table.columns) + "}", lines[0], r"\hline", *lines[1:], r"\end{tabular}", *([rf"\caption{{{caption}}}"] if caption else []), r"\end{table}"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.gibberish import ACCEPTED, GibberishDetector
 from ..ml import harness
 from ..operators import cluster, columns, correlate, dedup, encode, matrix, outliers, profile, reshape, sampling, scoring, stats
 from ..sources import tabular
+from .lineage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -550,8 +552,17 @@ def strip_non_ascii(spark, d):
     return table(spark, d, "documents").select("doc_id", text.strip_non_ascii(F.col("text")).alias("t"))
 
 
+#: The patterns once more, written for the oracle's engine without a look at :mod:`patterns`.
+PLAIN_PATTERNS = {
+    "linebreak": "\\r+|\\n+", "spaces": "[ \\t\\n\\r\\f\\v][ \\t\\n\\r\\f\\v]+", "number": "\\b[0-9]+([.,][0-9]+)?\\b", "email": "\\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+[.][a-zA-Z0-9.-]+\\b", "postcode_nl": "\\b[0-9][0-9][0-9][0-9][ \\t\\n\\r\\f\\v]?[a-zA-Z][a-zA-Z]\\b",
+    "time_of_day": "(2[0-3]|[01]?[0-9]):[0-5][0-9]([ \\t\\n\\r\\f\\v]?[aApP][.]?[mM][.]?)?", "non_ascii": "[^\\x{00}-\\x{7f}]", "url": "((http|https)://(www[.])?)?[a-z0-9]+([.-][a-z0-9]+)*[.][a-z][a-z][a-z]?[a-z]?[a-z]?(:[0-9]{1,5})?(/[^\\n]*)?", "special": "[`!@#*+{}:;'|,<>/\"\\[\\]\\\\]",
+    "ordinal": "[0-9]+(th|rd|nd|st)", "version": "\\b([0-9]+[.])?([0-9]+[.])?([*]|[0-9]+)\\b", "copyright": "[(]c[)]|[©®™]", "apostrophe_word": "[a-zA-Z0-9_]+'[a-zA-Z0-9_]+('[a-zA-Z0-9_]+)?", "md5": "[0-9a-fA-F]{32}", "html_tag": "<[^>\\n]*>",
+    "repeated_letter": "|".join(f"{x}{{3,}}" for x in "abcdefghijklmnopqrstuvwxyz"),
+}
+
+
 def _regex_query(name: str, t: str, key: str, column: str, oracle: bool = True) -> None:
-    body = patterns.PATTERNS[name].replace("'", "''")
+    body = PLAIN_PATTERNS.get(name, "").replace("'", "''")
 
     def run(spark, d):
         return table(spark, d, t).select(key, F.concat_ws("|", patterns.extract(F.col(column), name)).alias("found"))
@@ -563,7 +574,7 @@ for _p, _t, _k, _c, _o in (
     ("linebreak", "documents", "doc_id", "text", True), ("spaces", "documents", "doc_id", "text", True), ("number", "pages", "page_id", "url", True), ("email", "documents", "doc_id", "text", True),
     ("postcode_nl", "documents", "doc_id", "text", True), ("single_character", "documents", "doc_id", "text", False), ("time_of_day", "events", "event_id", "props", True), ("non_ascii", "documents", "doc_id", "text", True),
     ("url", "pages", "page_id", "url", True), ("special", "documents", "doc_id", "text", True), ("ordinal", "documents", "doc_id", "text", True), ("version", "documents", "doc_id", "text", True),
-    ("copyright", "documents", "doc_id", "text", True), ("repeated_letter", "documents", "doc_id", "text", False), ("repeated_any", "documents", "doc_id", "text", False), ("apostrophe_word", "documents", "doc_id", "text", True),
+    ("copyright", "documents", "doc_id", "text", True), ("repeated_letter", "documents", "doc_id", "text", True), ("repeated_any", "documents", "doc_id", "text", False), ("apostrophe_word", "documents", "doc_id", "text", True),
     ("md5", "documents", "doc_id", "text", True), ("query_keywords", "pages", "page_id", "url", False), ("html_tag", "pages", "page_id", "html", True),
 ):
     _regex_query(_p, _t, _k, _c, _o)
@@ -608,7 +619,11 @@ def url_clusters(spark, d):
     return text.cluster_urls(table(spark, d, "pages"), "url")
 
 
-@query("compounding_decisions")
+@query("compounding_decisions", r"""WITH d AS (SELECT doc_id AS d, string_split(text, ' ') AS t FROM documents), dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark),
+p AS (SELECT d, unnest(list_zip(t[:-2], t[2:])) AS p FROM d WHERE len(t) > 1), bi AS (SELECT p[1] AS l, p[2] AS r, count(DISTINCT d) AS n_bigram FROM p GROUP BY 1, 2),
+w AS (SELECT d, unnest(t) AS w FROM d), uni AS (SELECT replace(w, '-', '') AS joined, count(DISTINCT d) AS n_joined FROM w GROUP BY 1 HAVING bool_or(w = replace(w, '-', ''))),
+c AS (SELECT l, r, l || r AS joined, n_bigram, n_joined, l || r IN (SELECT w FROM dict) AS whole, l IN (SELECT w FROM dict) AND r IN (SELECT w FROM dict) AS both_ FROM bi JOIN uni ON l || r = joined)
+SELECT l || ' ' || r AS bigram, joined, n_bigram, n_joined, CASE WHEN abs(n_bigram - n_joined) < 3 THEN NOT whole OR both_ ELSE both_ AND (n_joined <= n_bigram OR NOT whole) END AS make_bigram FROM c""")
 def compounding_decisions(spark, d):
     docs = table(spark, d, "documents")
     dictionary = text.count_words(table(spark, d, "benchmark"), "text")
@@ -660,6 +675,65 @@ def regression_diagnostics(spark, d):
     return stats.diagnostics(table(spark, d, "part"), ["p_size"], "p_retailprice", "p_partkey").select("id", F.round("fitted", 3).alias("fitted"), F.round("residual", 3).alias("residual"), r6("leverage").alias("leverage"), F.round("studentized", 4).alias("studentized"))
 
 
+@query("nullity_corr_spearman", f"WITH n AS (SELECT {_rank_sql('', 'l_quantity')} AS q, (l_discount IS NULL)::INT AS a, (l_tax IS NULL)::INT AS b FROM {GAPPY}) SELECT 'l_quantity' AS col1, 'l_discount_NA' AS col2, round(corr(q, a), 6) AS value FROM n UNION ALL SELECT 'l_quantity', 'l_tax_NA', round(corr(q, b), 6) FROM n UNION ALL SELECT 'l_discount_NA', 'l_tax_NA', round(corr(a, b), 6) FROM n")
+def nullity_corr_spearman(spark, d):
+    own = correlate.nullity_correlation(gappy_lines(spark, d), "spearman", columns=["l_quantity", "l_discount", "l_tax"])
+    return own.filter("col1 IN ('l_quantity', 'l_discount_NA') AND col2 IN ('l_discount_NA', 'l_tax_NA') AND col1 <> col2").withColumn("value", r6("value"))
+
+
+@query("symmetric_matrix", "WITH t AS (SELECT [r_regionkey + 1, 2, 3, 4, 5, 6] AS a FROM region), c AS (SELECT i, j, a[least(i, j) * 3 - least(i, j) * (least(i, j) - 1) // 2 + greatest(i, j) - least(i, j) + 1] AS v FROM t, range(3) x(i), range(3) y(j)) SELECT i::INT AS i, j::INT AS j, sum(v)::BIGINT AS v FROM c GROUP BY 1, 2")
+def symmetric_matrix(spark, d):
+    own = table(spark, d, "region").select(F.array(F.col("r_regionkey") + 1, *map(F.lit, (2, 3, 4, 5, 6))).alias("a"))
+    return matrix.symmetric_matrix(own, "a").select("i", "j", F.col("v").cast("bigint").alias("v"))
+
+
+@query("edit_candidates", """WITH w AS (SELECT lower(r_name) AS w FROM region), p AS (SELECT w, i, left(w, i::INT) AS a, substr(w, i::INT + 1) AS b FROM w, range(0, 40) t(i) WHERE i <= length(w)), l AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c),
+e AS (SELECT w, a || substr(b, 2) AS e FROM p WHERE b <> '' UNION SELECT w, a || substr(b, 2, 1) || substr(b, 1, 1) || substr(b, 3) FROM p WHERE length(b) > 1 UNION SELECT w, a || c || substr(b, 2) FROM p, l WHERE b <> '' UNION SELECT w, a || c || b FROM p, l)
+SELECT w AS word, e AS candidate FROM e""")
+def edit_candidates(spark, d):
+    return table(spark, d, "region").select(F.lower("r_name").alias("word")).select("word", F.explode(spelling.edits_1(F.col("word"))).alias("candidate"))
+
+
+@query("joined_bigrams", "SELECT conv_id, turn, text AS sentence FROM conversations WHERE len(string_split(text, ' ')) > 1")
+def joined_bigrams(spark, d):
+    own = table(spark, d, "conversations").withColumn("t", F.split("text", " ")).filter(F.size("t") > 1)
+    return own.select("conv_id", "turn", text.join_bigrams(text.neighbours(F.col("t"))).alias("sentence"))
+
+
+@query("roc_fold_curves", f"""WITH s AS (SELECT doc_id % 3 AS fold, quality AS y, 1 / (1 + exp(-(ln(n_chars + 1) - 7))) AS p FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT fold, p, count(*) FILTER (y = 1) AS cp, count(*) FILTER (y = 0) AS cq FROM s GROUP BY 1, 2),
+r AS (SELECT fold, cp, cq, sum(cp) OVER w AS tp, sum(cq) OVER w AS fp, sum(cp) OVER (PARTITION BY fold) AS np, sum(cq) OVER (PARTITION BY fold) AS nq FROM c WINDOW w AS (PARTITION BY fold ORDER BY p DESC)),
+g AS (SELECT fold, (fp - cq) / nq AS x0, fp / nq AS x1, (tp - cp) / np AS y0, tp / np AS y1 FROM r),
+k AS (SELECT fold, k, max(CASE WHEN x1 = x0 THEN y1 ELSE y0 + (y1 - y0) * (k / 99 - x0) / (x1 - x0) END) AS tpr FROM g, range(100) t(k) WHERE k BETWEEN ceil(x0 * 99 - 1e-9) AND floor(x1 * 99 + 1e-9) GROUP BY 1, 2)
+SELECT fold::VARCHAR AS fold, round(k / 99, 6) AS fpr, round(tpr, 6) AS tpr FROM k UNION ALL SELECT 'mean', round(k / 99, 6), round(CASE k WHEN 0 THEN 0 WHEN 99 THEN 1 ELSE avg(tpr) END, 6) FROM k GROUP BY k""")
+def roc_fold_curves(spark, d):
+    own = scored(spark, d).withColumn("fold", F.col("doc_id") % 3)
+    return scoring.roc_curves(own, "y", "p", "fold").select(F.coalesce(F.col("fold").cast("string"), F.lit("mean")).alias("fold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("multiclass_metrics", """WITH s AS (SELECT lang AS y, CASE WHEN n_chars % 3 = 0 THEN 'en' ELSE lang END AS z FROM documents), c AS (SELECT y, count(*) AS n, count(*) FILTER (y = z) AS hit FROM s GROUP BY 1), q AS (SELECT z, count(*) AS said FROM s GROUP BY 1)
+SELECT 'accuracy' AS name, round((SELECT avg((y = z)::INT) FROM s), 6) AS value UNION ALL SELECT 'weightedPrecision', round(sum(n * coalesce(hit / said, 0)) / sum(n), 6) FROM c LEFT JOIN q ON y = z UNION ALL SELECT 'weightedRecall', round(sum(hit) / sum(n), 6) FROM c
+UNION ALL SELECT 'weightedFMeasure', round(sum(n * coalesce(2 * hit / (n + said), 0)) / sum(n), 6) FROM c LEFT JOIN q ON y = z""")
+def multiclass_metrics(spark, d):
+    own = table(spark, d, "documents").select(F.col("lang").alias("label"), F.when(F.col("n_chars") % 3 == 0, "en").otherwise(F.col("lang")).alias("prediction")).cache()
+    names = ("accuracy", "weightedPrecision", "weightedRecall", "weightedFMeasure")
+    return spark.createDataFrame([(x, round(scoring.MulticlassEvaluator(x).evaluate(own), 6)) for x in names], "name string, value double")
+
+
+@query("ingest_narrowed", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def ingest_narrowed(spark, d):
+    path = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    tabular.write_tsv(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path)
+    own = tabular.ingest_tsv(spark, path)
+    return own.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), F.col("o_orderstatus").cast("string"))
+
+
+@query("mahalanobis_classical_distance", """WITH z AS (SELECT p_partkey AS id, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS y FROM part), m AS (SELECT avg(x * y) AS r FROM z)
+SELECT id, round((x * x - 2 * r * x * y + y * y) / (1 - r * r), 5) AS distance FROM z, m""")
+def mahalanobis_classical_distance(spark, d):
+    return outliers.mahalanobis_outliers(table(spark, d, "part"), ["p_size", "p_retailprice"], "p_partkey", robust=False).select("id", F.round("distance", 5).alias("distance"))
+
+
 @query("qq_points")
 def qq_points(spark, d):
     return stats.qq_points(table(spark, d, "supplier"), "s_acctbal")
@@ -720,10 +794,7 @@ def boosted_regression(spark, d):
 
 @query("tsv_round_trip", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority, o_totalprice FROM orders")
 def tsv_round_trip(spark, d):
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qk-tsv-")
-    path = f"{base}/tsv-{abs(hash(d)) % 10**8}"
+    path = f"{shared_folder(spark)}/tsv-{uuid4().hex}"
     own = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("o_orderpriority"), "o_totalprice")
     tabular.write_tsv(own, path)
     return tabular.read_tsv(spark, path, "o_orderkey bigint, o_orderpriority string, o_totalprice double")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import copy
+import gzip
+import logging
 import os
 import shutil
 import tarfile
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 NULL_TEXT = "\\N"
 
@@ -73,9 +76,25 @@ def load_file(spark: SparkSession, path: str, kind: str, **options) -> DataFrame
         return spark.read.text(path, wholetext=True)
     if kind in ("csv", "parquet", "json", "orc"):
         return spark.read.options(**options).format(kind).load(path)
+    if kind == "xlsx":
+        return read_sheet(spark, path, **options)
     raise NotImplementedError(f"files of type {kind}")
 
 
+def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0, most_rows: int = 1_048_576) -> DataFrame:
+    """One sheet of an ``.xlsx`` book, its first row the names; needs openpyxl. A sheet has at most 1,048,576 rows by its format."""
+    import openpyxl
+
+    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
+    page = book[sheet] if isinstance(sheet, str) else book.worksheets[sheet]
+    rows = page.iter_rows(values_only=True)
+    names = [str(x) if x is not None else f"column_{k}" for k, x in enumerate(next(rows, ()))]
+    held = list(rows)
+    if len(held) > most_rows:
+        raise ValueError(f"over {most_rows} rows")
+    return spark.createDataFrame(pd.DataFrame(held, columns=names)) if held else spark.createDataFrame([], StructType([StructField(x, StringType()) for x in names]))
+
+
 def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     """A frequency list ``word count``, blank-separated without header; words such as null stay text."""
     parts = F.split(F.col("value"), " ")
@@ -102,11 +121,32 @@ class Catalogue:
             return read_word_counts(spark, e["path"])
         return load_file(spark, e["path"], e["kind"], **e.get("options", {}))
 
+    def load_kept(self, spark: SparkSession, name: str, folder: str) -> DataFrame:
+        """:meth:`load`, kept as Parquet under ``folder`` the first time and read from there after."""
+        path = f"{folder.rstrip('/')}/{name}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            self.load(spark, name).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     def as_views(self, spark: SparkSession) -> None:
         for name in self._entries:
             self.load(spark, name).createOrReplaceTempView(name)
 
 
+def logger(name: str = "quarrykit", folder: str | None = None, file: str | None = None) -> logging.Logger:
+    """A logger with time, place and level; with ``folder`` and ``file`` it writes there too, one handler a file."""
+    own = logging.getLogger(name)
+    own.setLevel(logging.INFO)
+    if folder and file:
+        path = str(Path(folder, file).resolve())
+        if not any(getattr(h, "baseFilename", None) == path for h in own.handlers):
+            handler = logging.FileHandler(path)
+            handler.setFormatter(logging.Formatter("{asctime} {filename}:{lineno} {levelname} {message}", "%Y-%m-%d %H:%M:%S", style="{"))
+            own.addHandler(handler)
+    return own
+
+
 def empty_frame(spark: SparkSession) -> DataFrame:
     """No columns, no rows."""
     return spark.createDataFrame([], StructType([]))
@@ -128,8 +168,16 @@ def clear_cache(path: str | None = None) -> int:
 
 
 def extract_missing(archive: str, target: str) -> list[str]:
-    """Unpack from a zip, tar or tar.gz only the members that ``target`` lacks; names that lead outside are refused."""
+    """Unpack from a zip, tar, tar.gz or a single file's .gz only the members that ``target`` lacks; names that lead outside are refused."""
     base, out = Path(target).resolve(), []
+    if not zipfile.is_zipfile(archive) and not tarfile.is_tarfile(archive) and str(archive).endswith(".gz"):
+        to = base / Path(archive).name[:-3]
+        if not to.exists():
+            base.mkdir(parents=True, exist_ok=True)
+            with gzip.open(archive, "rb") as a, open(to, "wb") as f:
+                shutil.copyfileobj(a, f)
+            out.append(to.name)
+        return out
     opened = zipfile.ZipFile(archive) if zipfile.is_zipfile(archive) else tarfile.open(archive)
     with opened as a:
         for name in a.namelist() if isinstance(a, zipfile.ZipFile) else a.getnames():

@@ -12,7 +12,6 @@ from quarrykit.plans.catalogue import ORACLES, QUERIES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SLOW = {"random_forest_cv", "boosted_regression", "affinity_clusters", "topic_words", "fuzzy_spell_matches"}
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +38,7 @@ def test_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+    got = QUERIES[name](spark, DATA).toPandas()
+    assert len(got)
