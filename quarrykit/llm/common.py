@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, its lineage cut.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only where a session
-    names none (tests on one machine) a local folder is set.
+    The folder is the one named in ``spark.checkpoint.dir``. Where a session names none, a
+    folder of this machine is set if the session is local, as in tests; a cluster's fails.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qk-ckpt-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="qk-ckpt-"))
     return df.checkpoint(eager=True)
 
 

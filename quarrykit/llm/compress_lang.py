@@ -92,8 +92,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Dictionaries learned from a bounded sample of labelled rows.
 
     Of the rows where ``train`` holds and language and text are not null, about
-    ``sample_rows`` per language are drawn by a hash of the id, at most twice as many,
-    and up to ``sample_chars`` characters of each are kept.
+    ``sample_rows`` per language are drawn by a hash of the id, at most twice as many. Of a
+    longer text one piece of ``sample_chars`` characters is taken, at a place that a hash of
+    the id gives; pieces fill the dictionaries in the order of that hash, up to their size.
     """
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: int(r[1]) for r in rows.groupBy(F.col(lang_col)).count().limit(most_languages + 1).collect()}
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return {}, {}
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.3 * sample_rows / n))]), F.col(lang_col))
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)
-    picked = rows.filter(drawn).select(F.col(lang_col).alias("l"), F.col(id_col).cast("string").alias("i"), F.substring(text_col, 1, sample_chars).alias("t")).limit(2 * sample_rows * len(sizes)).collect()
+    picked = rows.filter(drawn).select(F.col(lang_col).alias("l"), F.col(id_col).cast("string").alias("i"), F.substring(F.col(text_col), 1 + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("place")), F.greatest(F.char_length(text_col) - sample_chars + 1, F.lit(1))).cast("int"), F.lit(sample_chars)).alias("t")).limit(2 * sample_rows * len(sizes)).collect()
     picked.sort(key=lambda r: (r.i or "", r.t))
     return build_dictionaries([(r.l, r.t) for r in picked]), sizes
 
@@ -114,10 +115,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     The whole text is encoded, in blocks, with each language's dictionary and the smallest
     encoding wins. ``accepted`` is false where the runner-up is within ``min_margin`` of the best,
     and where the prediction is ``und``: a null text or one without letters, or nothing to
-    learn from. ``score`` (0 to 1) grows with the relative margins. By default rows whose
+    learn from. Equal sizes go to the language with more training rows, then the lesser
+    name. ``score`` (0 to 1) grows with the relative margins. By default rows whose
     crc32 of the id leaves remainder 2 by 4 are held out from training; neither id,
-    language nor any other column enters a prediction. Repeated rows get equal results;
-    an empty table gives an empty result.
+    language nor any other column enters a prediction, whatever the others are called; rows
+    with a null id are predicted too. Repeated rows get equal results; an empty table gives
+    an empty result.
     """
     train = ~held_out(id_col) if train is None else train
     contents, sizes = fit(docs, train, id_col, text_col, lang_col, level=level)
@@ -137,7 +140,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = 0.005, level: int = 3) -> DataFrame:
-    """``docs`` without the rows that :func:`identify` rejects; columns and values stay as they are."""
+    """``docs`` without the rows that :func:`identify` rejects; columns, of any names, and values stay as they are.
+
+    Null and empty texts and those without letters are rejected, as is every row where
+    there is nothing to learn from; null ids stay; repeated rows go or stay together; an
+    empty table stays empty.
+    """
     contents, sizes = fit(docs, ~held_out(id_col), id_col, text_col, lang_col, level=level)
     sent = docs.sparkSession.sparkContext.broadcast((contents, sizes))
     at = docs.columns.index(text_col)

@@ -145,10 +145,12 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last floor(n / 4) code points replaced by the first as many
     (or all) of the next row, in ascending id; the first row follows the last. Null texts
     are empty, null ids come first, rows with equal ids are ordered by text; a single row
-    follows itself; an empty table gives an empty result.
+    follows itself; texts of any length are hashed whole; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
 
     The texts are range-partitioned once and read in order, one row ahead. Only the first
-    and last row of each partition are joined across partitions afterwards.
+    and last row of each partition are joined across partitions afterwards. A hot id (null,
+    say) is parted by how its texts begin.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -184,7 +186,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows, follow = [*zip(c["id"], c["t"], c["fp"])], [*zip(c["id"], c["next_t"], c["next_fp"])]
             yield pa.RecordBatch.from_arrays(arrays(_digests(rows, follow), b.schema.field("id").type), FIELDS)
 
-    read = checkpointed(plain.repartitionByRange(input_partitions(spark), "id").sortWithinPartitions("id", "t").mapInArrow(ordered, f"{schema}, part int, role int, t string"))
+    read = checkpointed(plain.repartitionByRange(input_partitions(spark), "id", F.substring("t", 1, 64)).sortWithinPartitions("id", "t").mapInArrow(ordered, f"{schema}, part int, role int, t string"))
     parts = sorted(r["part"] for r in read.filter("role = 2").select("part").collect())  # as many as partitions at most
     turn = spark.createDataFrame([*zip(parts, [*parts[1:], *parts[:1]])], "part int, after int")
     heads = read.filter("role = 2").select(F.col("part").alias("after"), F.col("t").alias("next_t"), F.col("fingerprint").alias("next_fp"))
