@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, release, sliced
 
-#: Words that one task remembers, about 200 bytes each.
+#: Words that one Python worker remembers, about 200 bytes each.
 REMEMBERED = 200_000
 
 
@@ -38,7 +37,7 @@ class Encoder:
             model = json.load(f)["model"]
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()) or r"(?!)")
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.quick = None
         if all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(pairs)):  # ids are merge ranks
@@ -84,7 +83,7 @@ class Encoder:
             if not t:
                 held.append(b"")
                 continue
-            if self.special.search(t):
+            if any(x in t for x in self.special):
                 held.append(self.whole(t))
                 continue
             words = t.replace("\n", " \n").split(" ")
@@ -145,7 +144,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
                     rows.append(i), piece.append(k), start.append(at), length.append(cut - at), crc.append(crc32(ids[4 * at : 4 * cut]))
                     at, cut, k = cut, cut + window, k + 1
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
-        _encoder(tokenizer).known.clear()
         release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
