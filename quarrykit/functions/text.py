@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -176,11 +179,89 @@ def cluster_urls(df: DataFrame, url: str, min_size: int = 10) -> DataFrame:
     return own.join(big, F.col("pattern") == F.col("p"), "left").select("url", F.coalesce("p", "url").alias("pattern"), F.col("p").isNull().cast("int").alias("unclustered"))
 
 
+def _common_runs(a: str, b: str, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(i, j, n): starts and lengths of the maximal runs of ``k`` characters or more along which a[i:] and b[j:] agree; None if over ``most`` grams meet."""
+    ids = np.unique(np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    base, x, y = int(ids.max()) + 1, ids[: len(a)], ids[len(a) :]
+    p, q, top = x, y, base
+    for g in range(1, k):
+        if top > (1 << 62) // base:
+            both = np.unique(np.concatenate([p, q]), return_inverse=True)[1]
+            p, q, top = both[: len(p)], both[len(p) :], int(both.max()) + 1
+        p, q, top = p[:-1] * base + x[g:], q[:-1] * base + y[g:], top * base
+    order = np.argsort(q, kind="stable")
+    lo, hi = np.searchsorted(q[order], p, "left"), np.searchsorted(q[order], p, "right")
+    met = hi - lo
+    if met.sum() > most:
+        return None
+    i = np.repeat(np.arange(len(p)), met)
+    j = order[np.repeat(lo - np.cumsum(met) + met, met) + np.arange(len(i))]
+    at = np.lexsort((i, i - j))
+    i, j = i[at], j[at]
+    new = np.ones(len(i), bool)
+    new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    first = np.flatnonzero(new)
+    return i[first], j[first], np.diff(np.append(first, len(i))) + k - 1
+
+
+def matching_blocks(a: str, b: str, least: int = 2, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """(start in ``a``, length) of difflib's matching blocks of ``least`` characters or more, in no order.
+
+    Difflib takes the longest run that two texts share (the first in ``a``, then in ``b``)
+    and goes on to its left and right. The same blocks come from all maximal runs taken
+    longest first, where a run that leaves the gap between two blocks is cut to the gaps and
+    waits for its turn. Texts so repetitive that over ``most`` grams meet are left to difflib.
+    """
+    if min(len(a), len(b)) < least:
+        return
+    runs = _common_runs(a, b, least, most)
+    if runs is None:
+        yield from ((i, n) for i, _, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if n >= least)
+        return
+    at = np.lexsort((runs[1], runs[0], -runs[2]))
+    runs = [r[at] for r in runs]
+    cut: list[tuple[int, int, int]] = []  # (-n, i, j) of pieces
+    # the blocks so far in order, one before and one after all: starts and ends in a and in b
+    ia, ea, ib, eb = [-1, len(a)], [0, len(a) + 1], [-1, len(b)], [0, len(b) + 1]
+    while True:
+        todo = list(zip((-runs[2]).tolist(), runs[0].tolist(), runs[1].tolist()))
+        k, taken = 0, 0
+        while (k < len(todo) or cut) and taken < 24:
+            if cut and (k == len(todo) or cut[0] < todo[k]):
+                n, i, j = heappop(cut)
+            else:
+                n, i, j = todo[k]
+                k += 1
+            n = -n
+            g = bisect_left(ea, i + 1)  # gap g lies between blocks g - 1 and g: the first that the run can touch
+            while g < len(ia) and ia[g - 1] < i + n and ib[g - 1] < j + n:
+                s = max(ea[g - 1] - i, eb[g - 1] - j, 0)
+                e = min(ia[g] - i, ib[g] - j, n)
+                if s == 0 and e == n:
+                    yield i, n
+                    ia.insert(g, i), ea.insert(g, i + n), ib.insert(g, j), eb.insert(g, j + n)
+                    taken += 1
+                    break
+                if e - s >= least:
+                    heappush(cut, (s - e, i + s, j + s))
+                g += 1
+        runs = [r[k:] for r in runs]
+        if not len(runs[0]) and not cut:
+            return
+        # runs that touch no gap in both texts are done with
+        i, j, n = runs
+        first = np.maximum(np.searchsorted(ea, i, "right"), np.searchsorted(eb, j, "right"))
+        last = np.minimum(np.searchsorted(ia, i + n, "left"), np.searchsorted(ib, j + n, "left"))
+        runs = [r[first <= last] for r in runs]
+
+
 def extract_phrases(df: DataFrame, group: str, order: str, text: str, min_length: int = 2, max_length: int | None = None, min_freq: int = 1) -> DataFrame:
     """(group, phrase, freq): substrings that each text shares with the texts before it, by difflib's matching blocks.
 
-    A group is one list of texts and is folded in order, by nature on one task.
+    A group is one list of texts and is folded in order, by nature on one task. Groups are spread
+    over all shuffle partitions: their work is far more than their bytes, by which adaptive execution would gather them.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[group].dataType.simpleString()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,8 +269,8 @@ def extract_phrases(df: DataFrame, group: str, order: str, text: str, min_length
         seen = ""
         for t in pdf.sort_values("o")["t"].dropna():
             if seen:
-                m = difflib.SequenceMatcher(None, seen, t, autojunk=False)
-                for a, _, n in m.get_matching_blocks():
+                blocks = matching_blocks(seen, t, max(min_length, 1))
+                for a, n in blocks if min_length > 0 else [*blocks, (0, 0)]:  # difflib's last block is empty
                     p = seen[a : a + n].strip()
                     if len(p) >= min_length and (max_length is None or len(p) <= max_length):
                         found[p] = found.get(p, 0) + 1
@@ -199,7 +280,7 @@ def extract_phrases(df: DataFrame, group: str, order: str, text: str, min_length
         return pd.DataFrame({"g": pdf["g"].iloc[:1].repeat(len(rows)).to_numpy(), "phrase": np.array([p for p, _ in rows], object), "freq": np.array([n for _, n in rows], np.int64)})
 
     own = df.select(col(group).alias("g"), col(order).alias("o"), col(text).alias("t"))
-    return own.groupBy("g").applyInPandas(fold, f"g {kind}, phrase string, freq bigint").withColumnRenamed("g", group)
+    return own.repartition(parts, "g").groupBy("g").applyInPandas(fold, f"g {kind}, phrase string, freq bigint").withColumnRenamed("g", group)
 
 
 def topics(df: DataFrame, tokens: str, k: int, n: int = 10, seed: int = 0, vocabulary: int | None = None) -> DataFrame:
