@@ -4,6 +4,7 @@ import difflib
 import random
 
 from quarrykit.functions import text
+from quarrykit.operators import matrix
 
 
 def test_matching_blocks_are_difflibs():
@@ -22,3 +23,13 @@ def test_phrase_groups_are_spread(spark):
     got = text.extract_phrases(spark.createDataFrame(rows, "g int, o int, t string"), "g", "o", "t", 5)
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {r.g for r in got.collect()} == set(range(40))
+
+
+def test_cosines_of_odd_rows(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [4.0, -3.0]), (4, None), (5, [1.0, None]), (6, [2.0]), (7, []), (8, [6.0, 8.0])]
+    for blocks in (1, 3):
+        frame = matrix.cosine_rows(spark.createDataFrame(rows, "id int, x array<float>"), "id", "x", blocks)
+        assert frame.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        got = {(r.i, r.j): r.v for r in frame.collect()}
+        assert len(got) == 64 and got[1, 3] == 0 and got[1, 8] == got[8, 1] == got[6, 6] == 1
+        assert {k for k, v in got.items() if v is not None} == {(i, j) for i in (1, 3, 8) for j in (1, 3, 8)} | {(6, 6)}
