@@ -33,3 +33,11 @@ def test_cosines_of_odd_rows(spark):
         got = {(r.i, r.j): r.v for r in frame.collect()}
         assert len(got) == 64 and got[1, 3] == 0 and got[1, 8] == got[8, 1] == got[6, 6] == 1
         assert {k for k, v in got.items() if v is not None} == {(i, j) for i in (1, 3, 8) for j in (1, 3, 8)} | {(6, 6)}
+
+
+def test_pairs_of_blocks_are_spread(spark):
+    rows = [(k, float(k) if k % 7 else None) for k in range(50)]
+    frame = matrix.pairwise_difference(spark.createDataFrame(rows, "id int, x double"), "id", "x", 3)
+    assert frame.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.i, r.j): r.v for r in frame.collect()}
+    assert got == {(a, b): None if x is None or y is None else y - x for a, x in rows for b, y in rows}
