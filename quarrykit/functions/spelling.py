@@ -94,13 +94,63 @@ def correct_sentences(df: DataFrame, id_col: str, tokens: str, dictionary: DataF
     return back.select(F.col("id").alias(id_col), F.array_join("w.corrected", " ").alias("corrected"))
 
 
+class FuzzyIndex:
+    """Dictionary words by pieces, so that a word meets only those that can reach ``threshold`` (difflib ratio in percent, rounded).
+
+    Matching blocks are a common subsequence: a ratio of t leaves (1 - t) of both lengths
+    to be added or left out. Of a word cut into one piece more than such edits, one piece
+    stands whole in the other, moved by no more places than there are edits. Words too
+    short for so many pieces are met by every word of a fitting length.
+    """
+
+    def __init__(self, words: list[str], threshold: float):
+        self.least = threshold - 0.5
+        self.pieces: dict[int, list[tuple[int, int, dict[str, list[str]]]]] = {}
+        self.short: dict[int, list[str]] = {}
+        for d in words:
+            n = len(d)
+            if n not in self.pieces and n not in self.short:
+                edits = self.edits(n + int(n * (200 - self.least) / self.least + 1e-9)) if self.least > 0 else n
+                at = [n * k // (edits + 1) for k in range(edits + 2)] if edits < n else []
+                if at:
+                    self.pieces[n] = [(p, q - p, {}) for p, q in zip(at, at[1:])]
+                else:
+                    self.short[n] = []
+            if n in self.short:
+                self.short[n].append(d)
+            else:
+                for p, z, by in self.pieces[n]:
+                    by.setdefault(d[p : p + z], []).append(d)
+
+    def edits(self, both: int) -> int:
+        """The most characters that two words of ``both`` characters together may not share."""
+        return int((1 - self.least / 100) * both + 1e-9)
+
+    def near(self, w: str) -> list[str]:
+        """Every dictionary word at the threshold, and some below it."""
+        m, out = len(w), set()
+        fits = lambda n: 200 * min(m, n) >= self.least * (m + n)
+        for n, pieces in self.pieces.items():
+            if fits(n):
+                e = self.edits(m + n)
+                for p, z, by in pieces:
+                    for x in range(max(0, p - e), min(m - z, p + e) + 1):
+                        out.update(by.get(w[x : x + z], ()))
+        for n, words in self.short.items():
+            if fits(n):
+                out.update(words)
+        return sorted(out)
+
+
 def fuzzy_matches(words: DataFrame, dictionary: DataFrame, threshold: int = 75, block: int = 20_000) -> DataFrame:
     """(word, match, ratio): dictionary words with 100 * difflib ratio (rounded) at ``threshold`` or more.
 
-    The dictionary is sent in blocks of ``block`` words; lengths too far apart for the
-    threshold, and letters in common too few, are passed over before the ratio.
+    The dictionary is sent in blocks of ``block`` words, each indexed by pieces
+    (:class:`FuzzyIndex`); words with letters in common too few are passed over before the
+    ratio. Words are spread over all shuffle partitions, by number: their bytes are few beside their work.
     """
-    own = words.select(col(words.columns[0]).alias("word")).filter("word IS NOT NULL").distinct()
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = words.select(col(words.columns[0]).alias("word")).filter("word IS NOT NULL").distinct().repartition(parts, F.xxhash64("word"))
     spark, schema = words.sparkSession, "word string, match string, ratio int"
     out, held = spark.createDataFrame([], schema), []
 
@@ -108,13 +158,12 @@ def fuzzy_matches(words: DataFrame, dictionary: DataFrame, threshold: int = 75,
         sent = spark.sparkContext.broadcast(part)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = FuzzyIndex(sent.value, threshold)
             for pdf in parts:
                 rows = []
                 for w in pdf["word"]:
                     m = difflib.SequenceMatcher(None, "", w, autojunk=False)
-                    for d in sent.value:
-                        if 200 * min(len(w), len(d)) < (threshold - 0.5) * (len(w) + len(d)):
-                            continue
+                    for d in index.near(w):
                         m.set_seq1(d)
                         if 100 * m.quick_ratio() >= threshold - 0.5 and (r := round(100 * m.ratio())) >= threshold:
                             rows.append((w, d, r))

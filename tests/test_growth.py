@@ -3,7 +3,7 @@
 import difflib
 import random
 
-from quarrykit.functions import text
+from quarrykit.functions import spelling, text
 from quarrykit.operators import matrix
 
 
@@ -41,3 +41,23 @@ def test_pairs_of_blocks_are_spread(spark):
     assert frame.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = {(r.i, r.j): r.v for r in frame.collect()}
     assert got == {(a, b): None if x is None or y is None else y - x for a, x in rows for b, y in rows}
+
+
+def test_fuzzy_index_finds_all():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    words += [w[:k] + rng.choice("abcdef") + w[k + rng.randint(0, 1) :] for w in words for k in [rng.randint(0, len(w))]]
+    words += [w * 4 for w in words[:20]] + [(w * 4)[3:] + "xy" for w in words[:20]]
+    ratio = {(a, b): round(100 * difflib.SequenceMatcher(None, b, a, autojunk=False).ratio()) for a in words[::2] for b in words}
+    for threshold in (0, 40, 75, 90, 100):
+        index = spelling.FuzzyIndex(words, threshold)
+        near = {a: set(index.near(a)) for a in words[::2]}
+        assert all(b in near[a] for (a, b), r in ratio.items() if r >= threshold)
+    assert sum(map(len, near.values())) < len(ratio) / 50
+
+
+def test_fuzzy_words_are_spread(spark):
+    words = spark.createDataFrame([(f"word{k % 50}",) for k in range(100)], "w string")
+    got = spelling.fuzzy_matches(words, spark.createDataFrame([("word7",), (None,)], "word string"), 90, block=1)
+    assert sorted(map(tuple, got.collect())) == [(f"word{k}7" if k else "word7", "word7", 91 if k else 100) for k in (1, 2, 3, 4, 0)]
+    assert got.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
