@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import col
+from ..plans.lineage import checkpointed
 
 WORD = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -126,6 +127,18 @@ def neighbours(tokens: Column) -> Column:
     return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda x, y: F.struct(x.alias("l"), y.alias("r")))
 
 
+def _maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows of ``df`` whose text ``key`` may be among ``keys`` (one column): surely those that are. A bitmap of 2^``bits`` hashes is broadcast, 16 MB at most however many keys."""
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    span = 64 * 256
+    seen = keys.select(h(F.col(keys.columns[0])).alias("__h"))
+    longs = seen.groupBy(F.expr("__h div 64").alias("__w")).agg(F.expr("bit_or(shiftleft(1L, cast(__h % 64 AS int)))").alias("__b"))
+    slots = longs.groupBy(F.expr("__w div 256").alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("__w") % 256).cast("int"), "__b"))).alias("__m"))
+    map_ = slots.select("__k", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0))).alias("__a"))
+    own = df.withColumn("__h", h(key)).withColumn("__k", F.expr(f"__h div {span}"))
+    return own.join(F.broadcast(map_), "__k").filter(F.expr("getbit(__a[cast(__h div 64 % 256 AS int)], cast(__h % 64 AS int)) = 1")).select(*map(col, df.columns))
+
+
 def compounding_decisions(df: DataFrame, text: str, dictionary: DataFrame, split_on_both: bool = True, threshold: int = 3) -> DataFrame:
     """(bigram, joined, n_bigram, n_joined, make_bigram) for word pairs also written as one word or with a hyphen.
 
@@ -136,13 +149,18 @@ def compounding_decisions(df: DataFrame, text: str, dictionary: DataFrame, split
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    t = F.split(col(text), " ")
-    rows = df.select(F.monotonically_increasing_id().alias("d"), t.alias("t"))
-    pairs = neighbours(F.col("t"))
-    bi = rows.select("d", F.explode(pairs).alias("p")).filter("p.r IS NOT NULL").select("d", "p.l", "p.r").distinct().groupBy("l", "r").agg(F.count("*").alias("n_bigram"))
-    one = rows.select("d", F.explode("t").alias("w")).select("d", F.regexp_replace("w", "-", "").alias("joined"), "w").distinct()
-    uni = one.groupBy("joined").agg(F.count_distinct("d").alias("n_joined"), F.max((F.col("w") == F.col("joined"))).alias("plain"))
-    c = bi.withColumn("joined", F.concat("l", "r")).join(uni.filter("plain"), "joined")
+    t = F.col("t")  # split at blanks, so a pair's text parts in one way only; repeats end inside their row, and only counts are shuffled
+    rows = df.select(F.split(col(text), " ").alias("t"))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))
+    hyphen = lambda w: F.contains(w, F.lit("-"))
+    forms = rows.select(F.array_distinct("t").alias("t")).select(F.filter("t", lambda w: ~hyphen(w)).alias("plain"), F.transform(F.filter("t", hyphen), lambda w: F.replace(w, F.lit("-"), F.lit(""))).alias("other"))
+    one = forms.select(F.explode("plain").alias("joined"), F.lit(True).alias("plain")).unionByName(forms.select(F.explode(F.array_except("other", "plain")).alias("joined"), F.lit(False).alias("plain")))
+    uni = checkpointed(one.groupBy("joined").agg(F.count("*").alias("n_joined"), F.max("plain").alias("plain")).filter("plain"))  # read twice
+    met = _maybe_in(rows.select(F.explode(pairs).alias("p")), F.replace("p", F.lit(" "), F.lit("")), uni.select("joined"))  # most pairs are never written as one word
+    counts = met.groupBy("p").agg(F.count("*").alias("n_bigram"))
+    bi = counts.select(F.substring_index("p", " ", 1).alias("l"), F.substring_index("p", " ", -1).alias("r"), "n_bigram")
+    c = bi.withColumn("joined", F.concat("l", "r")).join(uni, "joined")
     words_ = dictionary.select("word").distinct()
     known = lambda d, c_: d.join(words_.select(F.col("word").alias(f"k_{c_}")), F.col(c_) == F.col(f"k_{c_}"), "left")
     for x in ("joined", "l", "r"):

@@ -3,6 +3,8 @@
 import difflib
 import random
 
+from pyspark.sql import functions as F
+
 from quarrykit.functions import spelling, text
 from quarrykit.operators import matrix
 
@@ -61,3 +63,23 @@ def test_fuzzy_words_are_spread(spark):
     got = spelling.fuzzy_matches(words, spark.createDataFrame([("word7",), (None,)], "word string"), 90, block=1)
     assert sorted(map(tuple, got.collect())) == [(f"word{k}7" if k else "word7", "word7", 91 if k else 100) for k in (1, 2, 3, 4, 0)]
     assert got.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_compounding_with_blanks_and_hyphens(spark):
+    lines = ["co op coop co-op co op", "co op  coop", None, "", "co-op co-op", "-- a", " ", "rain bow x", "rainbow"]
+    docs = spark.createDataFrame([(x,) for x in lines], "t string")
+    known = spark.createDataFrame([("rain",), ("bow",), ("rainbow",), (None,)], "word string")
+    got = text.compounding_decisions(docs, "t", known).collect()
+    texts = [[*x.split(" ")] for x in lines if x is not None]
+    pairs = {(a, b) for t in texts for a, b in zip(t, t[1:])}
+    plain = {w for t in texts for w in t if "-" not in w}
+    want = {(f"{a} {b}", a + b, sum((a, b) in zip(t, t[1:]) for t in texts), sum(any(w.replace("-", "") == a + b for w in t) for t in texts)) for a, b in pairs if a + b in plain}
+    assert {(r.bigram, r.joined, r.n_bigram, r.n_joined) for r in got} == want
+    assert {r.make_bigram for r in got if r.bigram == "rain bow"} == {True}
+
+
+def test_pairs_never_joined_are_not_shuffled(spark):
+    keys = spark.createDataFrame([(f"k{n}",) for n in range(500)], "w string")
+    rows = spark.createDataFrame([(f"k{n}",) for n in range(0, 20000, 2)] + [(None,)], "t string")
+    got = {r.t for r in text._maybe_in(rows, F.col("t"), keys).collect()}
+    assert {f"k{n}" for n in range(0, 500, 2)} <= got and len(got) < 260
