@@ -3,10 +3,12 @@
 import difflib
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.functions import spelling, text
-from quarrykit.operators import matrix
+from quarrykit.operators import columns, matrix, profile
 
 
 def test_matching_blocks_are_difflibs():
@@ -83,3 +85,30 @@ def test_pairs_never_joined_are_not_shuffled(spark):
     rows = spark.createDataFrame([(f"k{n}",) for n in range(0, 20000, 2)] + [(None,)], "t string")
     got = {r.t for r in text._maybe_in(rows, F.col("t"), keys).collect()}
     assert {f"k{n}" for n in range(0, 500, 2)} <= got and len(got) < 260
+
+
+def test_profile_counts_by_value(spark):
+    rows = [(k % 3, f"s{k}" if k % 4 else None, float(k)) for k in range(20)]
+    frame = spark.createDataFrame(rows, "a int, b string, c double")
+    got = {r.column: tuple(r)[2:] for r in columns.column_profile(frame).collect()}
+    assert got == {"a": (20, 0, 3, "0", "2"), "b": (20, 5, 15, "s1", "s9"), "c": (20, 0, 20, "0.0", "19.0")}
+    none = {tuple(r)[2:] for r in columns.column_profile(frame.filter("false")).collect()}
+    assert none == {(0, 0, 0, None, None)}
+
+
+@pytest.mark.parametrize("by", ["g", None])
+def test_box_stats_hold_no_column(spark, by):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "c"]), rng.choice([None, rng.randint(0, 9) / 2, rng.gauss(0, 30)])) for _ in range(500)] + [("one", 7.5), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, x double")
+    out = profile.box_stats(frame, "x", by)
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.asDict().get("by"): r for r in out.collect()}
+    for g in {g for g, x in rows if x is not None} if by else {None}:
+        x = np.array([v for k, v in rows if v is not None and (not by or k == g)])
+        q1, median, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        inside = x[(x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))]
+        r = got.pop(g)
+        assert np.allclose([r.q1, r.median, r.q3, r.low, r.high], [q1, median, q3, inside.min(), inside.max()], rtol=1e-12)
+        assert (r.n, r.outliers) == (len(x), len(x) - len(inside))
+    assert not got
