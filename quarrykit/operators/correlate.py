@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,10 @@ from ..plans.lineage import checkpointed
 from .columns import CHUNK, col, na_indicators
 
 
+#: Distinct values whose ranks are broadcast (16 bytes each); ranks of more are joined by shuffle.
+SENT = 200_000
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson over rows where both are known; null where either is constant."""
     both = x.isNotNull() & y.isNotNull()
@@ -41,6 +46,8 @@ def average_ranks(df: DataFrame, column: str, to: str) -> DataFrame:
     before = totals.withColumn("__b", F.expr("sum(__t) OVER (ORDER BY __p)") - F.col("__t")).drop("__t")  # one row a partition
     run = placed.withColumn("__u", F.expr("sum(__c) OVER (PARTITION BY __p ORDER BY __v)"))
     ranks = run.join(before, "__p").select("__v", (F.col("__u") + F.col("__b") - (F.col("__c") - 1) / 2.0).alias(to))
+    if placed.count() <= SENT:
+        ranks = F.broadcast(ranks)
     return df.join(ranks, col(column) == F.col("__v"), "left").drop("__v")
 
 
@@ -54,6 +61,21 @@ def pair_correlation(df: DataFrame, x: str, y: str, method: str = "pearson") ->
     return both.agg(safe_corr(F.col("__rx"), F.col("__ry"))).first()[0]
 
 
+def _rank_correlations(ranked: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Pearson of complete rank columns ``__r <name>`` from plain sums: every column of ranks has the mean (n + 1) / 2, so nothing cancels."""
+    if not pairs:
+        return {}
+    n = ranked.count()
+    at = lambda c: col(f"__r {c}") - F.lit((n + 1) / 2)
+    sums: dict[tuple[str, str], float] = {}
+    for k in range(0, len(pairs), CHUNK):
+        part = pairs[k : k + CHUNK]
+        row = ranked.agg(*[F.sum(at(a) * at(b)).alias(f"v{i}") for i, (a, b) in enumerate(part)]).first()
+        sums |= {p: row[i] or 0.0 for i, p in enumerate(part)}
+    norm = lambda a, b: math.sqrt(sums[a, a]) * math.sqrt(sums[b, b])
+    return {(a, b): sums[a, b] / norm(a, b) if norm(a, b) else None for a, b in pairs}
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """(col1, col2, value) for all ordered pairs, the diagonal 1 (null for a constant).
 
@@ -72,13 +94,13 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method:
         for a, b in pairs:
             if a not in whole or b not in whole:
                 values[a, b] = pair_correlation(df, a, b, "spearman") if a != b else pair_correlation(df, a, a)
-        pairs = [(a, b) for a, b in pairs if (a, b) not in values]
+        values |= _rank_correlations(own, whole, [p for p in pairs if p not in values])
+        pairs = []
     elif method != "pearson":
         raise ValueError("method is pearson or spearman")
-    name = (lambda c: col(f"__r {c}")) if method == "spearman" else col
     for k in range(0, len(pairs), CHUNK):
         part = pairs[k : k + CHUNK]
-        row = own.agg(*[safe_corr(name(a), name(b)).alias(f"v{i}") for i, (a, b) in enumerate(part)]).first()
+        row = own.agg(*[safe_corr(col(a), col(b)).alias(f"v{i}") for i, (a, b) in enumerate(part)]).first()
         values |= {p: row[i] for i, p in enumerate(part)}
     rows = [(a, b, v) for (a, b), v in values.items()] + [(b, a, v) for (a, b), v in values.items() if a != b]
     return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, value double")

@@ -4,11 +4,12 @@ import difflib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.functions import spelling, text
-from quarrykit.operators import columns, matrix, profile
+from quarrykit.operators import columns, correlate, matrix, profile
 
 
 def test_matching_blocks_are_difflibs():
@@ -112,3 +113,20 @@ def test_box_stats_hold_no_column(spark, by):
         assert np.allclose([r.q1, r.median, r.q3, r.low, r.high], [q1, median, q3, inside.min(), inside.max()], rtol=1e-12)
         assert (r.n, r.outliers) == (len(x), len(x) - len(inside))
     assert not got
+
+
+@pytest.mark.parametrize("sent", [0, 5, 200_000])
+def test_ranks_by_broadcast_and_by_shuffle(spark, monkeypatch, sent):
+    monkeypatch.setattr(correlate, "SENT", sent)
+    rng = random.Random(2)
+    own = pd.DataFrame([(rng.randint(0, 3), x := rng.gauss(0, 1), x + rng.gauss(0, 1), 5) for _ in range(300)], columns=["a", "b", "c", "d"])
+    got = {(r.col1, r.col2): r.value for r in correlate.correlation_matrix(spark.createDataFrame(own), method="spearman").collect()}
+    want = own.rank().corr()
+    for p in got:
+        assert (got[p] is None and "d" in p) or abs(got[p] - want.loc[p]) < 1e-12
+
+
+def test_rank_sums_need_no_moments(spark, monkeypatch):
+    monkeypatch.setattr(correlate, "safe_corr", None)  # its code for many pairs is beyond what the JVM compiles
+    frame = spark.createDataFrame([(float(k), float(k * k % 7)) for k in range(30)], "a double, b double")
+    assert correlate.correlation_matrix(frame, method="spearman").count() == 4
