@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpointed
+from ..plans.lineage import checkpointed, spread
 from .columns import col
 from .encode import scale
 from .matrix import gram
@@ -48,15 +48,29 @@ def moments(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mean, g[:-1, :-1] / (g[-1, -1] or 1.0) - np.outer(mean, mean)
 
 
+def kth_least(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
+    """The ``k``-th least (from 1) of a column of finite numbers, exactly: rows are counted in bins, then in bins of the bin that holds it, until that holds one value."""
+    lo, hi = df.agg(F.min(column), F.max(column)).first()
+    while lo < hi:
+        width = (hi - lo) / bins
+        own = df.filter(F.col(column).between(lo, hi))
+        at = F.floor((F.col(column) - F.lit(lo)) / F.lit(width)) if width > 0 else (F.col(column) > lo).cast("long")
+        for _, n, lo, hi in sorted(own.groupBy(at.alias("at")).agg(F.count("*"), F.min(column), F.max(column)).collect()):
+            if k <= n:
+                break
+            k -= n
+    return lo
+
+
 def concentrated(df: DataFrame, names: list[str], mean: np.ndarray, cov: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Concentration steps over all rows until the determinant stays: moments of the half of the rows nearest by the last moments."""
     n, p, last = df.count(), len(names), None
     if not n:
         return mean, cov
-    share = min(1.0, ((n + p + 1) // 2) / n)
+    half = min(n, (n + p + 1) // 2)
     for _ in range(steps):
         far = df.withColumn("d", squared_distance(names, mean, cov))
-        limit = far.agg(F.percentile_approx("d", share, 100_000)).first()[0]  # exact up to 100,000 different distances, then to 1e-5 of the ranks
+        limit = kth_least(far, "d", half)
         mean, cov = moments(far.filter(F.col("d") <= limit), names)
         det = float(np.linalg.det(np.atleast_2d(cov)))
         if last is not None and abs(last - det) <= 1e-12 * max(1.0, abs(last)):
@@ -80,7 +94,7 @@ def mahalanobis_outliers(df: DataFrame, features: list[str], id_col: str, compon
     pcs = model.transform(vectors).select("id", vector_to_array("pc").alias("pc")).select("id", *[F.col("pc")[k].alias(f"c{k}") for k in range(components)])
     names = [f"c{k}" for k in range(components)]
     if robust:
-        pcs = checkpointed(pcs)  # read once a step
+        pcs = checkpointed(spread(pcs))  # read once a step
         rows = np.array([tuple(r)[1:] for r in pcs.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()], float)
         mean, cov = concentrated(pcs, names, *robust_moments(rows, seed))
     else:
