@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.functions import spelling, text
-from quarrykit.operators import columns, correlate, matrix, profile
+from quarrykit.operators import columns, correlate, matrix, outliers, profile
+from quarrykit.plans import lineage
 
 
 def test_matching_blocks_are_difflibs():
@@ -130,3 +131,17 @@ def test_rank_sums_need_no_moments(spark, monkeypatch):
     monkeypatch.setattr(correlate, "safe_corr", None)  # its code for many pairs is beyond what the JVM compiles
     frame = spark.createDataFrame([(float(k), float(k * k % 7)) for k in range(30)], "a double, b double")
     assert correlate.correlation_matrix(frame, method="spearman").count() == 4
+
+
+def test_kth_least_is_exact(spark):
+    rng = random.Random(4)
+    x = [rng.choice([1.5, rng.expovariate(1) ** 9, 5e-324, 0.0]) for _ in range(700)]
+    frame = spark.createDataFrame([(v,) for v in x], "d double")
+    for k in (1, 100, 350, 699, 700):
+        assert outliers.kth_least(frame, "d", k, 16) == sorted(x)[k - 1]
+
+
+def test_long_partitions_are_spread(spark):
+    frame = spark.range(1000).coalesce(1)
+    assert lineage.spread(frame, 100).rdd.getNumPartitions() == 10 and lineage.spread(frame, 100).count() == 1000
+    assert lineage.spread(frame, 1000).rdd.getNumPartitions() == 1
